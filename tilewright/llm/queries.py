@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, secretscan, spm
+from . import ann, decontam, langid, minhash, secretscan, spm, warc
 from .shared import table
 
 #: Folder of the public tokenizers' files.
@@ -20,10 +20,18 @@ def pieces(folder: str = TOKENIZERS) -> bytes:
     return (Path(folder) / PIECES).read_bytes()
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.membership(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = langid.held_out()
@@ -57,9 +65,22 @@ FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
 """
 
 
+_OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h)) AS f FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (1 + 5 * i)::INT, 5))::BIGINT >> s) & 31) + 1)::INT, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to, true AS verified
+FROM d
+"""
+
+
 def queries() -> dict:
     found = {
+        "op1_warc": op1,
         "op2_minhash_groups": op2,
+        "op3_nearest_vectors": op3,
         "op4_language_id": op4,
         "op6_secret_scan": op6,
         "op8_sentencepiece": op8,
@@ -69,4 +90,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": _OP10}
+    return {"op1_warc": _OP1, "op10_decontamination": _OP10}
