@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, minhash, secretscan, spm, warc
+from . import ann, decontam, langid, lm, minhash, secretscan, spm, sufdedup, warc
 from .shared import table
 
 #: Folder of the public tokenizers' files.
@@ -39,10 +39,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sufdedup.dropped(table(spark, sf_dir, "documents"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(secretscan.assess(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), lm.held_out())
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_checked(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces(), keep=["doc_id"])
 
@@ -82,7 +90,9 @@ def queries() -> dict:
         "op2_minhash_groups": op2,
         "op3_nearest_vectors": op3,
         "op4_language_id": op4,
+        "op5_suffix_array": op5,
         "op6_secret_scan": op6,
+        "op7_suffix_tree_lm": op7,
         "op8_sentencepiece": op8,
         "op10_decontamination": op10,
     }
