@@ -10,9 +10,9 @@ the latest of all registers, so most shingles of a long text stop after one or t
 
 Groups: texts with the same word sequence are one *form* (exact copies and copies that differ in
 case or punctuation), and only forms are compared. Bands put forms into buckets. In a bucket every
-member is compared with the bucket's hub, its smallest form; what isn't joined by then is compared
-in further rounds, each with another hub, and once few pairs are left they are compared one by one.
-So each step is linear in the rows, and no pair of a bucket that could join two groups is skipped.
+member is compared with the bucket's hub first. Where that leaves several groups in a bucket, long
+signatures of its members are compared in blocks, and near pairs are verified like all others. So
+no pair of a bucket that could join two groups is skipped, and only near pairs are ever emitted.
 
 Edge cases: documents with null ids or null text are groups of their own, and so are texts without
 words unless the text is the same; repeated rows share a group; ties go to the smaller doc_id.
@@ -32,6 +32,8 @@ from .shared import cut, long, per_text
 M, BANDS = 128, 32
 ROWS = M // BANDS
 SHINGLE = 5
+#: Registers of the signatures that are compared with each other.
+LONG = 512
 _GOLD = U64(0x9E3779B97F4A7C15)
 _MULT = mix(np.arange(11, 11 + SHINGLE, dtype=U64) * _GOLD) | U64(1)
 
@@ -204,48 +206,89 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id").union(e.select("v", F.col("v").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = 0.8, few: int = 4) -> DataFrame:
+def _near(open_: DataFrame, content: DataFrame, least: float, block: int) -> DataFrame:
+    """Distinct pairs of different roots that share an open bucket and whose long signatures (one byte
+    of each of ``LONG`` registers) say a similarity of nearly ``least``.
+
+    The signatures of a bucket are compared in blocks of rows and only near pairs are emitted; a
+    bucket of more than ``block`` rows is compared by several tasks, two of its blocks in each.
+    """
+
+    def sign(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                each = [_read(sh, w) for sh, w in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                at = np.concatenate([[0], np.cumsum([len(s) for s, _ in each])])
+                sig = signatures(mix(np.concatenate([s for s, _ in each]).astype(U64) + U64(1)), np.concatenate([w for _, w in each]), at, LONG)
+                low = (mix(sig) & U64(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in low], pa.binary())], names=["id", "sig"])
+
+    needed = open_.select("id").distinct()
+    signs = content.dropDuplicates(["id"]).join(needed, "id", "left_semi").mapInArrow(sign, "id long, sig binary")
+    sizes = open_.groupBy("h").agg((F.floor((F.count("*") - 1) / block) + 1).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = open_.join(sizes, "h").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root")
+    floor = least - 4 * (least * (1 - least) / LONG) ** 0.5
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, roots, mine = (table[c].to_numpy() for c in ("id", "root", "mine"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, LONG)
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        rows, cols = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        if i == j:  # members of the largest group need no turn of their own
+            groups, n = np.unique(roots[rows], return_counts=True)
+            rows = rows[roots[rows] != groups[n.argmax()]]
+        us, vs = [], []
+        for at in range(0, len(rows), 16):
+            part = rows[at : at + 16]
+            same = (sig[part][:, None, :] == sig[cols][None, :, :]).sum(2) / LONG
+            same = (same - 1 / 256) / (1 - 1 / 256)
+            x, y = np.nonzero((same >= floor) & (roots[part][:, None] != roots[cols][None, :]))
+            us.append(ids[part[x]])
+            vs.append(ids[cols[y]])
+        u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
+        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+
+    return dealt.join(signs, "id").groupBy("h", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+
+
+def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = 0.8, few: int = 2000, block: int = 10_000) -> DataFrame:
     """(id, root) for the documents that share a group with another id; root is the group's smallest id.
 
-    ``few``: pairs that may still join two groups are compared one by one once there are at most that
-    many for each form; until then each round compares every bucket with another hub.
+    The first hub of a bucket is the member that shares most buckets' rows: in a cloud of copies of
+    one text, that text. ``few``: as soon as buckets with several groups hold at most that many pairs
+    across groups for each row, these are compared in blocks; until then other hubs take turns.
     """
     sig = cut(signed(docs, key, text))
     by_form = sig.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("far"))
     copies = sig.select("id", "f1", "f2").join(by_form.where("rep <> far"), ["f1", "f2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct()
     reps = sig.where("worded").join(by_form.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     rows = reps.select("id", F.explode("bands").alias("h"))
-    hubs = rows.groupBy("h").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub <> far").drop("far")
-    buckets = cut(rows.join(hubs, "h"))
-    tested = buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    members = buckets.select("id").distinct()
-    content = cut(_shingled(docs.join(members, docs[key].cast("long") == members["id"], "left_semi"), key, text))
-    tested = cut(tested)
+    shared = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("h", "n")
+    buckets = cut(rows.join(shared, "h"))
+    mass = buckets.groupBy("id").agg(F.sum("n").alias("mass"))
+    hubs = buckets.join(mass, "id").groupBy("h").agg(F.max(F.struct("mass", (-F.col("id")).alias("m"))).alias("x")).select("h", (-F.col("x.m")).alias("hub"))
+    tested = buckets.join(hubs, "h").where("id <> hub").select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v")).distinct()
+    content = cut(_shingled(docs.join(mass.select("id"), docs[key].cast("long") == mass["id"], "left_semi"), key, text))
     edges = cut(_verified(tested, content, least).union(copies))
     turn = 0
     while True:
         roots = components(edges)
         turn += 1
-        rooted = buckets.join(roots, "id", "left").select("h", "id", "hub", F.coalesce("root", "id").alias("root"))
-        split = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2").select("h")
+        rooted = buckets.where("n > 2").join(roots, "id", "left").select("h", "id", F.coalesce("root", "id").alias("root"))
+        split = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
         open_ = cut(rooted.join(split, "h"))
         counts = open_.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"), F.sum("c").alias("n"))
         cross, n = counts.agg(F.coalesce(F.sum("cross"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not cross:
             return roots
-        last = cross <= max(few * n, 10_000)
-        if last:
-            a, b = open_.select("h", F.col("id").alias("u"), F.col("root").alias("ru")), open_.select("h", F.col("id").alias("v"), F.col("root").alias("rv"))
-            pairs = a.join(b, "h").where("u < v and ru <> rv").select("u", "v").distinct()
-        else:
-            order = F.xxhash64("id", F.lit(turn))
-            hub = open_.groupBy("h").agg(F.min(F.struct(order.alias("o"), "id", "root")).alias("x"))
-            pairs = open_.join(hub, "h").where("root <> x.root").select(F.least("id", "x.id").alias("u"), F.greatest("id", "x.id").alias("v")).distinct()
-        pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
+        if cross <= few * n:
+            return components(edges.union(_verified(_near(open_, content, least, block), content, least)))
+        order = F.xxhash64("id", F.lit(turn))
+        hub = open_.groupBy("h").agg(F.min(F.struct(order.alias("o"), "id", "root")).alias("x"))
+        pairs = open_.join(hub, "h").where("root <> x.root").select(F.least("id", "x.id").alias("u"), F.greatest("id", "x.id").alias("v")).distinct()
         edges = cut(edges.union(_verified(pairs, content, least)))
-        if last:
-            return components(edges)
-        tested = cut(tested.union(pairs))
 
 
 def membership(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
