@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, lm, minhash, secretscan, spm, sufdedup, warc
+from . import ann, chat, decontam, langid, lm, minhash, secretscan, spm, sufdedup, warc
 from .shared import table
 
 #: Folder of the public tokenizers' files.
@@ -55,6 +55,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_checked(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces(), keep=["doc_id"])
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(table(spark, sf_dir, "conversations"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.find(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
@@ -84,6 +88,14 @@ FROM d
 """
 
 
+#: No message of these tables holds a call; fixtures in the tests do.
+_OP9 = """
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS ord, role,
+  to_json({'content': coalesce(text, ''), 'role': role, 'turn': turn})::VARCHAR AS json, 0::BIGINT AS n_calls, 0::BIGINT AS n_invalid, false AS linked
+FROM conversations
+"""
+
+
 def queries() -> dict:
     found = {
         "op1_warc": op1,
@@ -94,10 +106,11 @@ def queries() -> dict:
         "op6_secret_scan": op6,
         "op7_suffix_tree_lm": op7,
         "op8_sentencepiece": op8,
+        "op9_chat_format": op9,
         "op10_decontamination": op10,
     }
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op10_decontamination": _OP10}
+    return {"op1_warc": _OP1, "op9_chat_format": _OP9, "op10_decontamination": _OP10}
