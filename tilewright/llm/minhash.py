@@ -206,12 +206,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id").union(e.select("v", F.col("v").alias("root")).distinct())
 
 
-def _near(open_: DataFrame, content: DataFrame, least: float, block: int) -> DataFrame:
+def _near(open_: DataFrame, content: DataFrame, bands: DataFrame, least: float, block: int) -> DataFrame:
     """Distinct pairs of different roots that share an open bucket and whose long signatures (one byte
     of each of ``LONG`` registers) say a similarity of nearly ``least``.
 
-    The signatures of a bucket are compared in blocks of rows and only near pairs are emitted; a
-    bucket of more than ``block`` rows is compared by several tasks, two of its blocks in each.
+    The signatures of a bucket are compared in blocks of rows and only near pairs are emitted, each
+    by the first of the buckets that it shares; a bucket of more than ``block`` rows is compared by
+    several tasks, two of its blocks in each.
     """
 
     def sign(batches):
@@ -225,7 +226,7 @@ def _near(open_: DataFrame, content: DataFrame, least: float, block: int) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in low], pa.binary())], names=["id", "sig"])
 
     needed = open_.select("id").distinct()
-    signs = content.dropDuplicates(["id"]).join(needed, "id", "left_semi").mapInArrow(sign, "id long, sig binary")
+    signs = content.dropDuplicates(["id"]).join(needed, "id", "left_semi").mapInArrow(sign, "id long, sig binary").join(bands.select("id", "bands").dropDuplicates(["id"]), "id")
     sizes = open_.groupBy("h").agg((F.floor((F.count("*") - 1) / block) + 1).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = open_.join(sizes, "h").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root")
@@ -234,7 +235,8 @@ def _near(open_: DataFrame, content: DataFrame, least: float, block: int) -> Dat
     def compare(table: pa.Table) -> pa.Table:
         ids, roots, mine = (table[c].to_numpy() for c in ("id", "root", "mine"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, LONG)
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        i, j, h = (table[c][0].as_py() for c in ("i", "j", "h"))
         rows, cols = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         if i == j:  # members of the largest group need no turn of their own
             groups, n = np.unique(roots[rows], return_counts=True)
@@ -245,8 +247,10 @@ def _near(open_: DataFrame, content: DataFrame, least: float, block: int) -> Dat
             same = (sig[part][:, None, :] == sig[cols][None, :, :]).sum(2) / LONG
             same = (same - 1 / 256) / (1 - 1 / 256)
             x, y = np.nonzero((same >= floor) & (roots[part][:, None] != roots[cols][None, :]))
-            us.append(ids[part[x]])
-            vs.append(ids[cols[y]])
+            a, b = part[x], cols[y]
+            own = np.where(bands[a] == bands[b], bands[a], np.iinfo(np.int64).max).min(1) == h
+            us.append(ids[a[own]])
+            vs.append(ids[b[own]])
         u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
         return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
 
@@ -284,7 +288,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
         if not cross:
             return roots
         if cross <= few * n:
-            return components(edges.union(_verified(_near(open_, content, least, block), content, least)))
+            return components(edges.union(_verified(_near(open_, content, sig, least, block), content, least)))
         order = F.xxhash64("id", F.lit(turn))
         hub = open_.groupBy("h").agg(F.min(F.struct(order.alias("o"), "id", "root")).alias("x"))
         pairs = open_.join(hub, "h").where("root <> x.root").select(F.least("id", "x.id").alias("u"), F.greatest("id", "x.id").alias("v")).distinct()
