@@ -28,7 +28,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesbuf import U64, mix, prefix, ragged, substring_hash
@@ -184,23 +185,44 @@ def _anchored(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(joined: DataFrame) -> DataFrame:
-    """Rows (h, doc_id, r, start, span, body) from rows (r, doc_id, text, marks)."""
+    """Rows (h, doc_id, r, start, left, span, body) from rows (r, doc_id, text, marks): the bytes that
+    an anchor's strings cover, where they start, how far before the anchor, and further starts."""
 
     def run(batches):
-        names = ["h", "doc_id", "r", "start", "span", "body"]
+        names = ["h", "doc_id", "r", "start", "left", "span", "body"]
         for batch in batches:
-            rs, ids = batch.column(0), batch.column(1)
-            texts, marks = batch.column(2), batch.column(3)
-            for k in range(batch.num_rows):
-                raw = texts[k].as_py().encode()
-                inner = marks[k].values
-                h, place = inner.field(0), inner.field(1).to_numpy(zero_copy_only=False)
-                start, span = (place >> 16) - (place >> 8 & 255), place & 255
-                n = len(start)
-                body = [raw[a : a + s + LEAST] for a, s in zip(start.tolist(), span.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([h, pa.array([ids[k].as_py()] * n, pa.int64()), pa.array([rs[k].as_py()] * n, pa.int64()), pa.array(start), pa.array(span), pa.array(body, pa.binary())], names=names)
-
-    return joined.mapInArrow(run, "h long, doc_id long, r long, start long, span long, body binary")
+            rs, ids, marks = batch.column(0), batch.column(1), batch.column(3)
+            for lo, hi, data, offsets in text_slices(batch.column(2), 1 << 20):
+                part = marks.slice(lo, hi - lo)
+                count = np.diff(part.offsets.to_numpy())
+                inner = part.flatten()
+                place = inner.field(1).to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(hi - lo), count)
+                left, span = place >> 8 & 255, place & 255
+                start, size = (place >> 16) - left, span + LEAST
+                body = data[ragged(offsets[owner] + start, size)]
+                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                bodies = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(body)])
+                take = pa.array(lo + owner)
+                yield pa.RecordBatch.from_arrays([inner.field(0), ids.take(take), rs.take(take), pa.array(start), pa.array(left), pa.array(span), bodies], names=names)
+
+    return joined.mapInArrow(run, "h long, doc_id long, r long, start long, left long, span long, body binary")
+
+
+def _shared(h: np.ndarray, left: np.ndarray, span: np.ndarray, bodies: pa.Array) -> np.ndarray:
+    """Contexts that can hold a repeat. A string reaches 32 bytes or more before its anchor, or 32 or
+    more beyond the anchor's piece; so some other context of the anchor must agree in one of these."""
+    offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
+    data = np.frombuffer(bodies.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    at = offsets[:-1] - offsets[0] + left
+    sums = prefix(data)
+    out = np.zeros(len(h), bool)
+    half = WINDOW // 2
+    for rows, a, b in ((np.flatnonzero(left >= half), -half, PIECE), (np.flatnonzero(left - span < half), 0, PIECE + half)):
+        key = mix(substring_hash(sums, at[rows] + a, at[rows] + b) ^ h[rows].view(U64))
+        _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
+        out[rows[n[inverse] > 1]] = True
+    return out
 
 
 _RANGE = "r long, lo long, hi long"
@@ -211,14 +233,15 @@ def _compared(contexts: DataFrame) -> DataFrame:
 
     def take(parts: list[pa.RecordBatch], upto: int | None = None):
         t = pa.Table.from_batches(parts)
-        t = t if upto is None else t.slice(0, upto)
-        h = t["h"].to_numpy()
-        several = np.concatenate([h[1:] == h[:-1], [False]]) | np.concatenate([[False], h[1:] == h[:-1]])
-        t = t.filter(pa.array(several))
+        t = (t if upto is None else t.slice(0, upto)).combine_chunks()
+        if not len(t):
+            return
+        bodies = t["body"].combine_chunks()
+        bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
+        t = t.filter(pa.array(_shared(t["h"].to_numpy(), t["left"].to_numpy(), t["span"].to_numpy(), bodies)))
         if not len(t):
             return
-        ids = t["doc_id"].to_numpy(zero_copy_only=False)
-        ids = np.where(t["doc_id"].is_null().to_numpy(), np.iinfo(np.int64).min, np.nan_to_num(ids)).astype(np.int64) if t["doc_id"].null_count else ids
+        ids = pc.fill_null(t["doc_id"], np.iinfo(np.int64).min).to_numpy()
         r = t["r"].to_numpy()
         order = np.lexsort((r, ids))
         fresh = np.concatenate([[0], (ids[order][1:] != ids[order][:-1]) | (r[order][1:] != r[order][:-1])])
@@ -234,7 +257,7 @@ def _compared(contexts: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 4096):
                 piece = batch.slice(at, 4096)
                 parts.append(piece)
-                size += int(np.sum(piece.column(4).to_numpy())) + LEAST * piece.num_rows
+                size += int(np.sum(piece.column(5).to_numpy())) + LEAST * piece.num_rows
                 if size >= SLICE:
                     h = np.concatenate([p.column(0).to_numpy() for p in parts])
                     end = int(np.searchsorted(h, h[-1], "left")) if len(h) else 0
@@ -242,7 +265,7 @@ def _compared(contexts: DataFrame) -> DataFrame:
                         yield from take(parts, end)
                         rest = pa.Table.from_batches(parts).slice(end).combine_chunks()
                         parts = rest.to_batches()
-                        size = sum(int(np.sum(p.column(4).to_numpy())) + LEAST * p.num_rows for p in parts)
+                        size = sum(int(np.sum(p.column(5).to_numpy())) + LEAST * p.num_rows for p in parts)
         if parts:
             yield from take(parts)
 
@@ -256,8 +279,8 @@ def _hashed(contexts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                body = np.frombuffer(batch.column(5)[k].as_py(), np.uint8)
-                n = batch.column(4)[k].as_py() + 1
+                body = np.frombuffer(batch.column(6)[k].as_py(), np.uint8)
+                n = batch.column(5)[k].as_py() + 1
                 sums, s = prefix(body), np.arange(n)
                 a = substring_hash(sums, s, s + LEAST)
                 up = prefix(body ^ np.uint8(0x5A))
@@ -287,8 +310,8 @@ def dropped(docs: DataFrame, *, key: str = "doc_id", text: str = "text", group:
     marks = _anchored(source)
     hot = docs.sparkSession.createDataFrame([(h,) for h in crowded], "h long") if crowded else None
     again = marks if hot is None else marks.join(F.broadcast(hot), "h", "left_anti")
-    twice = again.groupBy("h").agg(F.min(F.struct("r", "place")).alias("a"), F.max(F.struct("r", "place")).alias("b")).where("a <> b").select("h")
-    again = again.join(twice, "h", "left_semi")
+    # an anchor's rows are at most about ``group`` here; the count needs no second shuffle
+    again = again.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").drop("n")
     if hot is not None:
         again = again.unionByName(marks.join(F.broadcast(hot), "h", "left_semi"))
     listed = again.groupBy("r").agg(F.collect_list(F.struct("h", "place")).alias("marks"))
@@ -298,7 +321,7 @@ def dropped(docs: DataFrame, *, key: str = "doc_id", text: str = "text", group:
     else:
         ranges = _compared(contexts.join(F.broadcast(hot), "h", "left_anti").select(*contexts.columns)).unionByName(_hashed(contexts.join(F.broadcast(hot), "h", "left_semi").select(*contexts.columns)))
     per_doc = ranges.groupBy("r").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    changed = _applied(source.join(per_doc, "r").select("r", "text", "ranges"))
+    changed = _applied(source.join(per_doc, "r").select("r", "doc_id", "text", "ranges"))
     whole = F.col("copy") & (F.col("n_bytes") >= LEAST)
     empty = hashlib.sha256(b"").hexdigest()
     out = placed.join(changed, "r", "left").select(
@@ -335,10 +358,11 @@ def _applied(joined: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 left, removed, spans = cut_out(text.encode(), [(x["lo"], x["hi"]) for x in ranges])
                 rows.append((removed, spans, hashlib.sha256(left).hexdigest()))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["r", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["r", "d", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, "r long, n_removed long, n_spans long, kept string")
+    # doc_id goes along so that both joins with the texts read the same shuffle
+    return joined.mapInArrow(run, "r long, d long, n_removed long, n_spans long, kept string")
