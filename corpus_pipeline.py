@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.llm import decontam, langid, minhash, secretscan, spm
 from tilewright.llm.queries import pieces
-from tilewright.llm.shared import shared_dir, table
+from tilewright.llm.shared import shared_dir, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay; those without letters or below even odds go."""
+    small_batches(spark)
     return langid.accepted(docs, langid.fit(docs.where(~langid.held_out())))
 
 
