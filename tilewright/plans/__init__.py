@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tiles", "vectors")
+MODULES = ("tiles", "vectors", "classes")
 
 
 def registered() -> dict:
