@@ -40,7 +40,7 @@ WINDOW = 64  # anchors' places in a string; a power of two
 PIECE = LEAST - WINDOW + 1
 SLICE = 3 << 20
 #: An anchor with more occurrences than this doesn't go to one task.
-GROUP = 30_000
+GROUP = 200_000
 SAMPLE = 64
 
 
@@ -128,33 +128,36 @@ def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return order, rank, int(step[-1]) + 1
 
 
-def repeats(rank: np.ndarray, start: np.ndarray, span: np.ndarray, body: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts in the order (rank of the document, first start); of each, ``span`` more starts.
-    Returns (context, from, to): byte ranges in the document that repeat an earlier string."""
+def repeats(h: np.ndarray, rank: np.ndarray, start: np.ndarray, left: np.ndarray, span: np.ndarray, body: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of whole anchor groups, earliest by (rank of the document, start).
+    Returns (context, from, to): byte ranges in the document that repeat an earlier string.
+
+    Of equal contexts all but the earliest are repeats throughout. Different contexts of one anchor
+    then meet in the transform.
+    """
     order = np.lexsort((start, rank))
-    firsts: dict[bytes, int] = {}
-    unique, copies = [], []
-    seen = set()
-    for i in order.tolist():
-        mark = (rank[i], start[i])
-        if mark in seen:  # the same row twice
-            continue
-        seen.add(mark)
-        if firsts.setdefault(body[i], i) == i:
-            unique.append(i)
-        else:
-            copies.append(i)
-    out = [(np.array(copies, np.int64), start[copies], start[copies] + span[copies] + LEAST)]
-    if len(unique) > 1:
-        u = np.array(unique)
-        text = np.frombuffer(b"\xff".join([body[i] for i in unique]) + b"\xff", np.uint8)
-        size = np.array([len(body[i]) for i in unique])
+    new = np.ones(len(order), bool)  # the same row twice is one
+    new[1:] = (rank[order][1:] != rank[order][:-1]) | (start[order][1:] != start[order][:-1])
+    order = order[new]
+    code = body.dictionary_encode().indices.to_numpy()[order]
+    first = np.zeros(len(order), bool)
+    first[np.unique(code, return_index=True)[1]] = True
+    copies, u = order[~first], order[first]
+    out = [(copies, start[copies], start[copies] + span[copies] + LEAST)]
+    _, inverse, n = np.unique(h[u], return_inverse=True, return_counts=True)
+    u = u[n[inverse] > 1]
+    if len(u):
+        u = u[_shared(h[u], left[u], span[u], body.take(pa.array(u)))]
+    if len(u):
+        data, offsets = _bytes(body.take(pa.array(u)))
+        size = np.diff(offsets)
         head = np.cumsum(size + 1) - size - 1
+        text = np.full(int(size.sum()) + len(u), 0xFF, np.uint8)
+        text[ragged(head, size)] = data
         turn, cls = bwt_classes(text, LEAST)
         when = np.full(len(text), np.iinfo(np.int64).max)
         count = span[u] + 1
-        places = ragged(head, count)
-        when[places] = (np.repeat(rank[u], count) << 40) + ragged(start[u], count)
+        when[ragged(head, count)] = (np.repeat(rank[u], count) << 40) + ragged(start[u], count)
         sorted_when = when[turn]
         borders = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
         least = np.repeat(np.minimum.reduceat(sorted_when, borders), np.diff(np.append(borders, len(text))))
@@ -167,6 +170,11 @@ def repeats(rank: np.ndarray, start: np.ndarray, span: np.ndarray, body: list[by
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
+def _bytes(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
+    return np.frombuffer(bodies.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def _key():
     return F.xxhash64("doc_id", "text")
 
@@ -177,11 +185,12 @@ def _anchored(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for lo, _, data, offsets in text_slices(batch.column(1)):
+            for lo, _, data, offsets in text_slices(batch.column(2)):
                 doc, h, place, first, last = anchors(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys[lo + doc]), pa.array(place << 16 | (place - first) << 8 | (last - first))], names=["h", "r", "place"])
 
-    return docs.select("r", "text").mapInArrow(run, "h long, r long, place long")
+    # all columns of the texts' shuffle, so that it is made once
+    return docs.select("r", "doc_id", "text").mapInArrow(run, "h long, r long, place long")
 
 
 def _contexts(joined: DataFrame) -> DataFrame:
@@ -212,9 +221,8 @@ def _contexts(joined: DataFrame) -> DataFrame:
 def _shared(h: np.ndarray, left: np.ndarray, span: np.ndarray, bodies: pa.Array) -> np.ndarray:
     """Contexts that can hold a repeat. A string reaches 32 bytes or more before its anchor, or 32 or
     more beyond the anchor's piece; so some other context of the anchor must agree in one of these."""
-    offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
-    data = np.frombuffer(bodies.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    at = offsets[:-1] - offsets[0] + left
+    data, offsets = _bytes(bodies)
+    at = offsets[:-1] + left
     sums = prefix(data)
     out = np.zeros(len(h), bool)
     half = WINDOW // 2
@@ -236,9 +244,9 @@ def _compared(contexts: DataFrame) -> DataFrame:
         t = (t if upto is None else t.slice(0, upto)).combine_chunks()
         if not len(t):
             return
-        bodies = t["body"].combine_chunks()
-        bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
-        t = t.filter(pa.array(_shared(t["h"].to_numpy(), t["left"].to_numpy(), t["span"].to_numpy(), bodies)))
+        h = t["h"].to_numpy()
+        same = h[1:] == h[:-1]
+        t = t.filter(pa.array(np.concatenate([same, [False]]) | np.concatenate([[False], same]))).combine_chunks()
         if not len(t):
             return
         ids = pc.fill_null(t["doc_id"], np.iinfo(np.int64).min).to_numpy()
@@ -247,7 +255,7 @@ def _compared(contexts: DataFrame) -> DataFrame:
         fresh = np.concatenate([[0], (ids[order][1:] != ids[order][:-1]) | (r[order][1:] != r[order][:-1])])
         rank = np.empty(len(r), np.int64)
         rank[order] = np.cumsum(fresh)
-        which, lo, hi = repeats(rank, t["start"].to_numpy(), t["span"].to_numpy(), t["body"].to_pylist())
+        which, lo, hi = repeats(t["h"].to_numpy(), rank, t["start"].to_numpy(), t["left"].to_numpy(), t["span"].to_numpy(), t["body"].chunk(0))
         if len(which):
             yield pa.RecordBatch.from_arrays([pa.array(r[which]), pa.array(lo), pa.array(hi)], names=["r", "lo", "hi"])
 
@@ -273,24 +281,27 @@ def _compared(contexts: DataFrame) -> DataFrame:
 
 
 def _hashed(contexts: DataFrame) -> DataFrame:
-    """The same for anchors of too many contexts: every string by a 128-bit hash, combined before the
-    shuffle."""
+    """The same for anchors of too many contexts, in distributed aggregations. Equal contexts are first
+    reduced to their earliest; strings of what is left meet by 128-bit hashes."""
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                body = np.frombuffer(batch.column(6)[k].as_py(), np.uint8)
-                n = batch.column(5)[k].as_py() + 1
-                sums, s = prefix(body), np.arange(n)
-                a = substring_hash(sums, s, s + LEAST)
-                up = prefix(body ^ np.uint8(0x5A))
-                b = mix(substring_hash(up, s, s + LEAST) ^ U64(0xA5A5))
-                start = batch.column(3)[k].as_py() + s
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([batch.column(1)[k].as_py()] * n, pa.int64()), pa.array(np.full(n, batch.column(2)[k].as_py())), pa.array(start)], names=["a", "b", "doc_id", "r", "start"])
-
-    each = contexts.mapInArrow(run, "a long, b long, doc_id long, r long, start long")
+                doc_id, r, first, span, body = (batch.column(c)[k].as_py() for c in range(5))
+                body, s = np.frombuffer(body, np.uint8), np.arange(span + 1)
+                a = substring_hash(prefix(body), s, s + LEAST)
+                b = mix(substring_hash(prefix(body ^ np.uint8(0x5A)), s, s + LEAST) ^ U64(0xA5A5))
+                n = len(s)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, r)), pa.array(first + s)], names=["a", "b", "doc_id", "r", "start"])
+
+    keyed = contexts.withColumns({"k1": F.xxhash64("body"), "k2": F.xxhash64(F.lit(5), F.col("body"))})
+    firsts = keyed.groupBy("h", "k1", "k2").agg(F.min(F.struct("doc_id", "r", "start", "span", "body")).alias("f"))
+    slim = keyed.select("h", "k1", "k2", "r", "start", "span").join(firsts.select("h", "k1", "k2", F.col("f.r").alias("fr"), F.col("f.start").alias("fs")), ["h", "k1", "k2"])
+    whole = slim.where("not (r = fr and start = fs)").select("r", F.col("start").alias("lo"), (F.col("start") + F.col("span") + LEAST).alias("hi"))
+    each = firsts.select("f.*").mapInArrow(run, "a long, b long, doc_id long, r long, start long")
     first = each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "r", "start")).alias("f"))
-    return each.join(first, ["a", "b"]).where("not (r = f.r and start = f.start)").select("r", F.col("start").alias("lo"), (F.col("start") + LEAST).alias("hi"))
+    late = each.join(first, ["a", "b"]).where("not (r = f.r and start = f.start)").select("r", F.col("start").alias("lo"), (F.col("start") + LEAST).alias("hi"))
+    return whole.unionByName(late)
 
 
 def dropped(docs: DataFrame, *, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
@@ -309,11 +320,11 @@ def dropped(docs: DataFrame, *, key: str = "doc_id", text: str = "text", group:
     crowded = [r.h for r in _anchored(sample).groupBy("h").count().where(F.col("count") >= most).orderBy(F.desc("count"), "h").limit(100_000).select("h").collect()]
     marks = _anchored(source)
     hot = docs.sparkSession.createDataFrame([(h,) for h in crowded], "h long") if crowded else None
-    again = marks if hot is None else marks.join(F.broadcast(hot), "h", "left_anti")
-    # an anchor's rows are at most about ``group`` here; the count needs no second shuffle
-    again = again.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").drop("n")
-    if hot is not None:
-        again = again.unionByName(marks.join(F.broadcast(hot), "h", "left_semi"))
+    # an anchor's rows are at most about ``group``, or it is known to be crowded and dealt out
+    crowd = F.lit(False) if hot is None else F.coalesce("crowd", F.lit(False))
+    again = marks if hot is None else marks.join(F.broadcast(hot.withColumn("crowd", F.lit(True))), "h", "left")
+    again = again.withColumn("crowd", crowd).withColumn("salt", F.when(F.col("crowd"), F.pmod(F.xxhash64("r"), F.lit(256))).otherwise(0))
+    again = again.withColumn("n", F.count("*").over(Window.partitionBy("h", "salt"))).where("n > 1 or crowd").select("h", "r", "place")
     listed = again.groupBy("r").agg(F.collect_list(F.struct("h", "place")).alias("marks"))
     contexts = _contexts(source.join(listed, "r").select("r", "doc_id", "text", "marks"))
     if hot is None:
