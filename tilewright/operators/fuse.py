@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_ID = Window.partitionBy("id")
+def by_id():
+    return Window.partitionBy("id")
 
 
 def _stacked(members: dict[str, tuple[DataFrame, float]]) -> DataFrame:
@@ -17,9 +18,9 @@ def _stacked(members: dict[str, tuple[DataFrame, float]]) -> DataFrame:
 
 
 def softmaxed(df: DataFrame, score: str) -> DataFrame:
-    m = F.max(score).over(BY_ID)
+    m = F.max(score).over(by_id())
     e = df.withColumn("__e", F.exp(F.col(score) - m))
-    return e.withColumn("p", F.col("__e") / F.sum("__e").over(BY_ID)).drop("__e")
+    return e.withColumn("p", F.col("__e") / F.sum("__e").over(by_id())).drop("__e")
 
 
 def log_blend(members: dict[str, tuple[DataFrame, float]], floor: float = 1e-6, votes: DataFrame | None = None, bonus: float = 0.0, total: float | None = None) -> DataFrame:
@@ -44,14 +45,14 @@ def geometric(members: dict[str, tuple[DataFrame, float]], floor: float = 1e-9)
 
 
 def normalised(df: DataFrame) -> DataFrame:
-    return df.withColumn("p", F.col("p") / F.sum("p").over(BY_ID))
+    return df.withColumn("p", F.col("p") / F.sum("p").over(by_id()))
 
 
 def majority(votes: DataFrame, first: str | None = None) -> DataFrame:
     """(id, label) of the greatest total weight from rows (id, voter, label, weight); ties go to the label
     of voter ``first``, then to the smallest."""
     by = votes.groupBy("id", "label").agg(F.sum("weight").alias("w"), F.max((F.col("voter") == F.lit(first)).cast("int")).alias("own"))
-    rank = F.row_number().over(BY_ID.orderBy(F.desc(F.round("w", 6)), F.desc("own"), "label"))
+    rank = F.row_number().over(by_id().orderBy(F.desc(F.round("w", 6)), F.desc("own"), "label"))
     return by.withColumn("r", rank).where("r = 1").select("id", "label", "w")
 
 
@@ -82,6 +83,6 @@ def gated(base: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
 
 def top_two(df: DataFrame) -> DataFrame:
     """(id, label, conf, second, margin); ties go to the smaller class."""
-    r = F.row_number().over(BY_ID.orderBy(F.desc(F.round("p", 6)), "class"))
+    r = F.row_number().over(by_id().orderBy(F.desc(F.round("p", 6)), "class"))
     ranked = df.withColumn("r", r).where("r <= 2")
     return ranked.groupBy("id").agg(F.max(F.when(F.col("r") == 1, F.col("class"))).alias("label"), F.max("p").alias("conf"), F.max(F.when(F.col("r") == 2, F.col("class"))).alias("second"), (F.max("p") - F.min("p")).alias("margin"))

@@ -11,8 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ABSENT = -1e9
-
 
 def assignment(score: np.ndarray) -> np.ndarray:
     """Column of each row that maximises the total (shortest augmenting paths, rows <= columns)."""
@@ -54,7 +52,7 @@ def assignment(score: np.ndarray) -> np.ndarray:
     return out
 
 
-def auction(score: np.ndarray, rounds: int = 6) -> np.ndarray:
+def auction(score: np.ndarray, rounds: int = 14) -> np.ndarray:
     """The same by an auction with falling increments: within n * eps of the best total."""
     n = len(score)
     price, eps = np.zeros(n), max(float(np.ptp(score)), 1e-6) / 2
@@ -148,12 +146,14 @@ def match(pairs: DataFrame, *, method: str = "assignment", threshold: float = -n
         if method == "greedy":
             succ = greedy(a, b, noisy, len(ids), threshold)
         else:
-            dense = np.full((len(ids), len(ids)), ABSENT)
+            # staying unlinked costs more than any link, a pair that is no candidate more than that
+            low, reach = noisy.min(), max(float(np.ptp(noisy)), 1e-3)
+            dense = np.full((len(ids), len(ids)), low - 100 * reach)
             dense[a, b] = noisy
-            np.fill_diagonal(dense, ABSENT / 10)
+            np.fill_diagonal(dense, low - 10 * reach)
             succ = (auction if method == "auction" else assignment)(dense)
             of = dense[np.arange(len(ids)), succ]
-            succ = uncycled(np.where((of > ABSENT / 100) & (succ != np.arange(len(ids))), succ, -1), of, threshold)
+            succ = uncycled(np.where((of >= low) & (succ != np.arange(len(ids))), succ, -1), of, threshold)
         clean = dict(zip(zip(a, b, strict=True), s, strict=True))
         rows = [(ids[i], ids[j], clean[i, j]) for i, j in enumerate(succ) if j >= 0]
         out = pd.DataFrame(rows, columns=["src", "dst", "s"]).astype({"src": "int64", "dst": "int64", "s": "float64"})

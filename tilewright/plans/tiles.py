@@ -10,7 +10,7 @@ from ..operators import normalize, tiling
 from .common import ARRAYS, SAMPLES, TILED, r6, rounded, samples, table, tile_arrays, tiled
 
 KEYS = ("user_id", "t")
-X = F.col("x")
+X = "x"  # a name, so that importing needs no session
 
 
 def _features(sql: str, **values):
@@ -95,7 +95,7 @@ def gaps(spark, d):
     return tiling.gap_blocks(s, "user_id", "sec").groupBy("user_id", "block").agg(F.count("*").alias("n"), F.min("idx").alias("start"))
 
 
-GAPS = f"WITH {SAMPLES}, g AS (SELECT *, epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY idx) AS gap FROM samples), q AS (SELECT user_id, quantile_cont(gap, 0.95) AS lim FROM g GROUP BY 1), b AS (SELECT user_id, idx, sum((coalesce(gap, 0) > lim)::INT) OVER (PARTITION BY user_id ORDER BY idx)::BIGINT AS block FROM g JOIN q USING (user_id)) SELECT user_id, block, count(*) AS n, min(idx) AS start FROM b GROUP BY ALL"
+GAPS = f"WITH {SAMPLES}, g AS (SELECT *, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY idx) AS gap FROM samples), q AS (SELECT user_id, quantile_cont(gap, 0.95) AS lim FROM g GROUP BY 1), b AS (SELECT user_id, idx, sum((coalesce(gap, 0) > lim)::INT) OVER (PARTITION BY user_id ORDER BY idx)::BIGINT AS block FROM g JOIN q USING (user_id)) SELECT user_id, block, count(*) AS n, min(idx) AS start FROM b GROUP BY ALL"
 
 
 def pooling(spark, d):
