@@ -120,8 +120,9 @@ def digest(assessed: DataFrame) -> DataFrame:
     return assessed.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
 
 
-def without_live(docs: DataFrame, *, owner: str = "source", repo: str = "doc_id", text: str = "text", shared_owners: int = 2, mask: str = "[secret]") -> DataFrame:
-    """Columns as they are; in each text the live-looking credentials are replaced by ``mask``.
+def without_live(docs: DataFrame, *, owner: str = "source", repo: str = "doc_id", text: str = "text", length: str = "n_chars", shared_owners: int = 2, mask: str = "[secret]") -> DataFrame:
+    """Columns as they are; in each text the live-looking credentials are replaced by ``mask``, and the
+    column ``length``, if there is one, is brought up to date in these rows.
 
     The values' counts are gathered first; then the live values found again in a text are those
     whose hash is in its row's own list, so no list of all values is sent around.
@@ -131,14 +132,19 @@ def without_live(docs: DataFrame, *, owner: str = "source", repo: str = "doc_id"
     live = flat.where("random").join(ownership(flat).where(F.col("n_owners") < shared_owners), "value_hash").groupBy(F.col("repo").alias("__repo"), F.col("owner").alias("__owner")).agg(F.collect_set("value_hash").alias("__live"))
     joined = docs.join(live, docs[f"`{repo}`"].eqNullSafe(F.col("__repo")) & docs[f"`{owner}`"].eqNullSafe(F.col("__owner")), "left").drop("__repo", "__owner")
     at = docs.columns.index(text)
+    sized = docs.columns.index(length) if dict(docs.dtypes).get(length) in ("int", "bigint") else None
 
     def run(batches):
         for batch in batches:
-            texts, lists = batch.column(at), batch.column(batch.num_columns - 1)
+            columns, lists = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
             if lists.null_count < len(lists):
-                out = [redact(t.as_py(), set(k.as_py())) if k.is_valid else t.as_py() for t, k in zip(texts, lists, strict=True)]
-                texts = pa.array(out, texts.type)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 : -1]], schema=pa.schema([batch.schema.field(i) for i in range(batch.num_columns - 1)]))
+                known = lists.to_pylist()
+                texts = [redact(t, set(k)) if k else t for t, k in zip(columns[at].to_pylist(), known, strict=True)]
+                columns[at] = pa.array(texts, columns[at].type)
+                if sized is not None:
+                    sizes = [len(t) if k and t is not None else n for t, k, n in zip(texts, known, columns[sized].to_pylist(), strict=True)]
+                    columns[sized] = pa.array(sizes, columns[sized].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(batch.num_columns - 1)]))
 
     def redact(value: str | None, hashes: set[str]) -> str | None:
         if value is None:
