@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def ipf(df: DataFrame, targets: DataFrame, rounds: int, floor: float = 1e-12) -> DataFrame:
     """Rounds of scaling each class to its target and each row to one. ``df``: session, id, class, p;
     ``targets``: session, class, target. Both totals are windows' sums."""
-    now = df.join(F.broadcast(targets), ["session", "class"])
+    now = df.join(targets, ["session", "class"])
     for _ in range(rounds):
         column = F.sum("p").over(Window.partitionBy("session", "class"))
         now = now.withColumn("p", F.col("p") * F.col("target") / F.greatest(column, F.lit(floor)))

@@ -100,7 +100,7 @@ def whiten(df: DataFrame, session: str, key: str, vector: str, shrink: float = 0
             out = [(np.asarray(w).reshape(len(m), -1) @ (np.asarray(v, float) - np.asarray(m))).tolist() for v, m, w in zip(pdf[vector], pdf["mean"], pdf["w"], strict=True)]
             yield pd.DataFrame({session: pdf[session], key: pdf[key], "w": out})
 
-    return df.select(session, key, vector).join(F.broadcast(models), session).mapInPandas(apply, f"{session} {kind}, {key} long, w array<double>")
+    return df.select(session, key, vector).join(models, session).mapInPandas(apply, f"{session} {kind}, {key} long, w array<double>")
 
 
 def pca(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:

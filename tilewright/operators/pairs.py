@@ -17,7 +17,7 @@ BLOCK = 2048
 def _blocks(df: DataFrame, by: str, name: str) -> DataFrame:
     """Deals each group's rows into blocks of about BLOCK rows by a hash of the id."""
     sizes = df.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__b"))
-    return df.join(F.broadcast(sizes), by).withColumn(name, F.pmod(F.xxhash64("id"), F.col("__b")).cast("int"))
+    return df.join(sizes, by).withColumn(name, F.pmod(F.xxhash64("id"), F.col("__b")).cast("int"))
 
 
 def topk(left: DataFrame, right: DataFrame, k: int, *, metric: str = "cosine") -> DataFrame:
@@ -29,8 +29,8 @@ def topk(left: DataFrame, right: DataFrame, k: int, *, metric: str = "cosine") -
     a, b = _blocks(left.select("session", "id", "v"), "session", "i"), _blocks(right.select(*[F.col(c).alias(c) for c in ("session", "id", "v")]), "session", "j")
     na = a.groupBy("session").agg(F.max("__b").alias("na"))
     nb = b.groupBy("session").agg(F.max("__b").alias("nb"))
-    a = a.join(F.broadcast(nb), "session").select("session", "id", "v", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    b = b.join(F.broadcast(na), "session").select("session", "id", "v", "j", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"))
+    a = a.join(nb, "session").select("session", "id", "v", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    b = b.join(na, "session").select("session", "id", "v", "j", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"))
     kind = dict(left.dtypes)["session"]
 
     def matrix(t: pa.Table) -> np.ndarray:
