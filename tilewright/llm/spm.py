@@ -18,6 +18,7 @@ comes back as one; a vocabulary without byte pieces gives its unknown piece inst
 from __future__ import annotations
 
 import hashlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,14 +105,18 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        ends: dict[str, int] = {}
-        for p in vocabulary.ids:  # the longest piece for each last character bounds the look back
-            ends[p[-1]] = max(ends.get(p[-1], 0), len(p))
-        self.reach = ends
+        #: Every ending of a piece, with the piece's score if it is one itself: a look back from a
+        #: position stops where no piece can begin any more.
+        self.endings: dict[str, float | None] = {}
+        for p in vocabulary.ids:
+            for k in range(1, len(p)):
+                self.endings.setdefault(p[k:], None)
+        self.endings.update(vocabulary.scores)
 
     def all(self, words: list[str]) -> list[list[int]]:
         """``words`` sorted; what is shared with the word before isn't computed again."""
-        scores, reach, floor = self.v.scores, self.reach, self.v.floor
+        endings, floor = self.endings, self.v.floor
+        missing = object()
         best, back = [0.0], [0]
         before, out = "", []
         for word in words:
@@ -124,15 +129,14 @@ class Encoder:
                     shared += 1
             del best[shared + 1 :], back[shared + 1 :]
             for j in range(shared + 1, n + 1):
-                most, start = None, j - 1
-                for i in range(max(0, j - reach.get(word[j - 1], 1)), j):
-                    s = scores.get(word[i:j])
-                    if s is not None and (most is None or best[i] + s > most):
+                start = i = j - 1
+                s = endings.get(word[i:j], missing)
+                most = best[i] + (floor if s is missing or s is None else s)
+                while s is not missing and i:
+                    i -= 1
+                    s = endings.get(word[i:j], missing)
+                    if s is not None and s is not missing and best[i] + s >= most:
                         most, start = best[i] + s, i
-                if most is None:
-                    most = best[j - 1] + floor
-                elif start != j - 1 and word[j - 1 : j] not in scores and best[j - 1] + floor > most:
-                    most, start = best[j - 1] + floor, j - 1
                 best.append(most)
                 back.append(start)
             before = word
@@ -174,6 +178,26 @@ class Decoder:
         for b, i in enumerate(v.bytes_):
             self.raw[i] = bytes([b])
         self.dummy = v.dummy_prefix
+        self.size = np.array([len(r) for r in self.raw])
+        self.head = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+
+    def gives(self, ids: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether the ids of each text decode to its bytes; all texts of a slice at once."""
+        size = self.size[ids]
+        out = self.flat[ragged(self.head[ids], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[at]
+        n, skip = np.diff(ends), np.zeros(len(at) - 1, np.int64)
+        some = np.flatnonzero(n > 0)
+        if self.dummy:
+            skip[some] = out[ends[some]] == 32
+        same = n - skip == np.diff(offsets)
+        rows = np.flatnonzero(same & (n > skip))
+        length = (n - skip)[rows]
+        differs = out[ragged(ends[rows] + skip[rows], length)] != data[ragged(offsets[rows], length)]
+        if len(rows):
+            same[rows] = ~np.logical_or.reduceat(differs, np.cumsum(length) - length)
+        return same
 
     def text(self, ids) -> str:
         out = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
@@ -183,10 +207,10 @@ class Decoder:
 class SliceEncoder:
     """Encodes slices of texts; keeps the segmentations of words met before, up to a bound."""
 
-    def __init__(self, raw: bytes, remember: int = 400_000):
+    def __init__(self, raw: bytes, remember: int = 600_000):
         self.v = Vocabulary.parse(raw)
         self.encoder, self.decoder, self.remember = Encoder(self.v), Decoder(self.v), remember
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def words(self, data: np.ndarray, offsets: np.ndarray):
         """Marked words of all texts, in bytes: starts and ends in ``body`` and each text's first.
@@ -223,12 +247,12 @@ class SliceEncoder:
         keys = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
         known = self.known
         new = sorted((k.decode("utf-8", "replace").replace(" ", MARK), k) for k in keys if k not in known)
-        fresh = {k: np.array(i, np.int32) for (_, k), i in zip(new, self.encoder.all([w for w, _ in new]), strict=True)}
+        fresh = {k: array("i", i).tobytes() for (_, k), i in zip(new, self.encoder.all([w for w, _ in new]), strict=True)}
         got = [known[k] if k in known else fresh[k] for k in keys]
         if len(known) + len(fresh) <= self.remember:
             known.update(fresh)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat, head = np.concatenate(got), np.cumsum(size) - size
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat, head = np.frombuffer(b"".join(got), np.int32), np.cumsum(size) - size
         count = size[inverse]
         ids = flat[ragged(head[inverse], count)]
         return ids, np.concatenate([[0], np.cumsum(count)])[first]
@@ -244,13 +268,10 @@ def encode_checked(docs: DataFrame, model: bytes, *, keep: list[str], text: str
     decoding them gives the text back."""
 
     def make(coder, ids, at, data, offsets):
-        names = coder.names
-        digests, same = [], []
-        for k in range(len(at) - 1):
-            mine = ids[at[k] : at[k + 1]].tolist()
-            digests.append(hashlib.sha256(",".join([names[i] for i in mine]).encode()).hexdigest())
-            same.append(coder.decoder.text(mine).encode() == data[offsets[k] : offsets[k + 1]].tobytes())
-        return [np.diff(at), digests, same]
+        names, bounds = coder.names, at.tolist()
+        every = ids.tolist()
+        digests = [hashlib.sha256(b",".join([names[i] for i in every[a:b]])).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [np.diff(at), digests, coder.decoder.gives(ids, at, data, offsets)]
 
     return _made(docs, model, keep, text, [long("n_ids"), string("ids_sha256"), T.StructField("round_trip", T.BooleanType())], make)
 
@@ -260,7 +281,7 @@ def _made(docs, model, keep, text, fields, result):
 
     def make():
         coder = SliceEncoder(shared.value)
-        coder.names = [str(i) for i in range(len(coder.v.pieces))]
+        coder.names = [b"%d" % i for i in range(len(coder.v.pieces))]
 
         def kernel(data, offsets):
             ids, at = coder.encode(data, offsets)
