@@ -306,7 +306,9 @@ def _hashed(contexts: DataFrame) -> DataFrame:
 
 def dropped(docs: DataFrame, *, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # without an alias where none is needed: it would make the uses of the texts' shuffle look different
+    named = F.col(key) if (key, dict(docs.dtypes)[key]) == ("doc_id", "bigint") else F.col(key).cast("long").alias("doc_id")
+    docs = docs.select(named, F.coalesce(F.col(text), F.lit("")).alias("text"))
     slim = docs.select("doc_id", _key().alias("r"), F.sha2("text", 256).alias("th"), F.octet_length("text").cast("long").alias("n_bytes"))
     slim = cut(slim.groupBy("doc_id", "r", "th", "n_bytes").agg(F.count("*").alias("copies")))
     mark = F.struct("doc_id", "r")
