@@ -115,6 +115,24 @@ def test_leftover_buckets_are_compared_in_blocks(docs):
     assert sorted_rows(minhash.membership(docs.repartition(1))) == plain
 
 
+def test_buckets_of_forms_without_links_end(spark, monkeypatch):
+    rng = random.Random(3)
+    shared = prose(rng, 160)  # similarity near 0.65, so all fall in common buckets and none are linked
+    rows = [(i, shared + " " + prose(rng, 40)) for i in range(60)]
+    rows += [(100 + i, f"{rows[i % 3][1]} tail{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole, calls = minhash.components, []
+
+    def counted(edges):
+        calls.append(1)
+        assert len(calls) < 10, "hubs are taken for ever"
+        return whole(edges)
+
+    monkeypatch.setattr(minhash, "components", counted)
+    roots = {r.id: r.root for r in minhash.classes(docs, few=1, block=20).collect()}
+    assert roots == {**{i: i for i in range(3)}, **{100 + i: i % 3 for i in range(30)}}
+
+
 def test_language_scores(docs, none, spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.fit(table.where(~langid.held_out()))

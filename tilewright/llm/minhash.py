@@ -262,7 +262,9 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
 
     The first hub of a bucket is the member that shares most buckets' rows: in a cloud of copies of
     one text, that text. ``few``: as soon as buckets with several groups hold at most that many pairs
-    across groups for each row, these are compared in blocks; until then other hubs take turns.
+    across groups for each row, these are compared in blocks; until then other hubs take turns. A
+    bucket whose groups became fewer by less than a tenth in its turn takes no more hubs, and when
+    none takes any, all that are still open are compared in blocks.
     """
     sig = cut(signed(docs, key, text))
     by_form = sig.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("far"))
@@ -276,21 +278,24 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
     tested = buckets.join(hubs, "h").where("id <> hub").select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v")).distinct()
     content = cut(_shingled(docs.join(mass.select("id"), docs[key].cast("long") == mass["id"], "left_semi"), key, text))
     edges = cut(_verified(tested, content, least).union(copies))
-    turn = 0
+    turn, going = 0, None
     while True:
         roots = components(edges)
         turn += 1
         rooted = buckets.where("n > 2").join(roots, "id", "left").select("h", "id", F.coalesce("root", "id").alias("root"))
         split = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
         open_ = cut(rooted.join(split, "h"))
-        counts = open_.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"), F.sum("c").alias("n"))
-        cross, n = counts.agg(F.coalesce(F.sum("cross"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not cross:
-            return roots
+        counts = open_.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"), F.sum("c").alias("n"), F.count("*").alias("groups"))
+        if going is not None:
+            counts = counts.join(going.select("h", F.col("groups").alias("before")), "h").where("groups <= 0.9 * before").drop("before")
+        going = cut(counts)
+        cross, n = going.agg(F.coalesce(F.sum("cross"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if cross <= few * n:
+            if open_.isEmpty():
+                return roots
             return components(edges.union(_verified(_near(open_, content, sig, least, block), content, least)))
         order = F.xxhash64("id", F.lit(turn))
-        hub = open_.groupBy("h").agg(F.min(F.struct(order.alias("o"), "id", "root")).alias("x"))
+        hub = open_.join(going.select("h"), "h", "left_semi").groupBy("h").agg(F.min(F.struct(order.alias("o"), "id", "root")).alias("x"))
         pairs = open_.join(hub, "h").where("root <> x.root").select(F.least("id", "x.id").alias("u"), F.greatest("id", "x.id").alias("v")).distinct()
         edges = cut(edges.union(_verified(pairs, content, least)))
 
