@@ -197,3 +197,12 @@ def test_sources_round_trip(spark, tmp_path):
     assert [r.label_id for r in files.encoded(labels, "label", ["null", "run"], "null", strict=False).collect()] == [1, 0, 0]
     with pytest.raises(Exception, match="unknown label"):
         files.encoded(labels, "label", ["null", "run"], "null", strict=True).collect()
+
+
+def test_components_settle_or_fail(spark):
+    edges = spark.createDataFrame([(0, i, i + 1, 1.0) for i in range(40)], "session int, src long, dst long, w double")
+    nodes = spark.range(43)
+    expected = {i: 0 if i <= 40 else i for i in range(43)}
+    assert {r.id: r.root for r in graph.components(edges, nodes).collect()} == expected
+    with pytest.raises(ValueError):
+        graph.components(edges, nodes, rounds=2)

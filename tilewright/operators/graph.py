@@ -6,6 +6,8 @@ checkpoint directory is set.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -83,11 +85,12 @@ def propagate_grouped(edges: DataFrame, start: DataFrame, alpha: float, rounds:
     return edges.groupBy("session").cogroup(start.groupBy("session")).applyInPandas(run, f"id {kinds['id']}, class {kinds['class']}, p double")
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, root): least id of each connected component; labels spread and jump until none changes."""
+def components(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, root): least id of each connected component; labels spread and jump until none changes.
+    They only ever fall, so this ends; where ``rounds`` are given and not enough, it is an error."""
     both = settle(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     now = settle(nodes.select("id", F.col("id").alias("root")))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         near = both.join(now.select(F.col("id").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("root").alias("m"))
         spread = now.join(near, "id", "left").select("id", F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = spread.select(F.col("id").alias("root"), F.col("root").alias("far"))
@@ -95,7 +98,7 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
         if not new.join(now.withColumnRenamed("root", "old"), "id").where("root <> old").limit(1).count():
             return new
         now = new
-    return now
+    raise ValueError("components did not settle")
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
