@@ -9,10 +9,11 @@ their tool. Each message becomes one line of canonical JSON: keys sorted, no bla
 Rows stay messages; a conversation of a third of all rows is never collected. Its order is made of
 ranks within ranges of turns and the ranges' totals.
 
-Edge cases: null text is empty; what can't be parsed stays text and counts as a broken call; a call
+Edge cases: null text is empty; what can't be parsed (``BROKEN``) stays text and counts as a broken call; a call
 whose identifier was used before in the conversation, and a result without a call or after the
 call's first result, stay unlinked; equal turns are ordered by role and text; repeated rows repeat;
-null conv_ids are one conversation; null turns come first; a tool without a schema is not validated.
+null conv_ids are one conversation; null turns come first; a tool without a schema is not validated;
+a very long text is one message like any other.
 """
 
 from __future__ import annotations
@@ -27,13 +28,32 @@ from pyspark.sql import types as T
 
 from .shared import cut, long, string, to_arrow
 
+#: The tools that production transcripts may call, with the schemas of their arguments.
+SCHEMAS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}}, "required": ["query"], "additionalProperties": False},
+    "fetch": {"type": "object", "properties": {"url": {"type": "string", "pattern": "^https?://"}}, "required": ["url"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string", "minLength": 1}}, "required": ["expression"], "additionalProperties": False},
+    "run_code": {"type": "object", "properties": {"language": {"type": "string", "enum": ["python", "sql", "bash"]}, "source": {"type": "string"}, "timeout": {"type": "number", "minimum": 0}}, "required": ["language", "source"], "additionalProperties": False},
+}
+
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
 RANGE = 256  # turns ranked together
 _KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
+#: What a message may hold that is no call or result: bad JSON, another type than an object, a missing
+#: field, numbers that JSON has no form for, lone surrogates, and nesting too deep to read.
+BROKEN = (ValueError, KeyError, TypeError, AttributeError, RecursionError, OverflowError)
+
+
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    out = json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    out.encode()  # lone surrogates are no text
+    return out
+
+
+def _text(value: object) -> str:
+    return value if isinstance(value, str) and value.encode() is not None else canonical(value)
 
 
 def problems(value: object, schema: dict, at: str = "$") -> list[str]:
@@ -45,7 +65,7 @@ def problems(value: object, schema: dict, at: str = "$") -> list[str]:
 
         def fits(kind):
             if kind in ("number", "integer"):
-                return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+                return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
             return isinstance(value, _KINDS[kind])
 
         if not any(map(fits, kinds)):
@@ -78,8 +98,8 @@ def read(role: str | None, text: str, schemas: dict[str, dict]) -> tuple[str, li
     if role == "tool":
         try:
             x = json.loads(text)
-            return "", [], 0, str(x["tool_call_id"]), canonical(x.get("content"))
-        except (ValueError, KeyError, TypeError):
+            return "", [], 0, _text(x["tool_call_id"]), canonical(x.get("content"))
+        except BROKEN:
             return text, [], 0, None, None
     if "<tool_call>" not in text:
         return text, [], 0, None, None
@@ -89,18 +109,34 @@ def read(role: str | None, text: str, schemas: dict[str, dict]) -> tuple[str, li
         nonlocal broken
         try:
             x = json.loads(m[1])
-            arguments = x.get("arguments", {})
-            schema = schemas.get(x["name"])
+            arguments, name = x.get("arguments", {}), _text(x["name"])
+            schema = schemas.get(name)
             wrong = problems(arguments, schema) if schema is not None else []
-            calls.append({"id": str(x["id"]), "name": str(x["name"]), "arguments": canonical(arguments), "problems": wrong})
+            calls.append({"id": _text(x["id"]), "name": name, "arguments": canonical(arguments), "problems": wrong})
             return ""
-        except (ValueError, KeyError, TypeError):
+        except BROKEN:
             broken += 1
             return m[0]
 
     return CALL.sub(take, text), calls, broken, None, None
 
 
+def line(turn: int | None, role: str | None, content: str, calls: list[dict], result_of: str | None, result: str | None, answered: set[str]) -> str:
+    """A message as canonical JSON, put together from parts that are: arguments and results aren't read
+    again, so what could be read once can be written at any depth."""
+    parts = {"content": canonical(content) if result_of is None else result, "role": canonical(role), "turn": canonical(turn)}
+    if result_of is not None:
+        parts["tool_call_id"] = canonical(result_of)
+    if calls:
+        each = [{"arguments": c["arguments"], "answered": canonical(c["id"] in answered), "id": canonical(c["id"]), "name": canonical(c["name"])} | ({"problems": canonical(c["problems"])} if c["problems"] else {}) for c in calls]
+        parts["tool_calls"] = "[" + ",".join(map(_object, each)) + "]"
+    return _object(parts)
+
+
+def _object(parts: dict[str, str]) -> str:
+    return "{" + ",".join(f'"{k}":{parts[k]}' for k in sorted(parts)) + "}"
+
+
 _CALLS = T.ArrayType(T.StructType([string("id"), string("name"), string("arguments"), T.StructField("problems", T.ArrayType(T.StringType()))]))
 
 
@@ -140,13 +176,7 @@ def linked(messages: DataFrame, schemas: dict[str, dict] | None = None, *, conv:
         for batch in batches:
             lines, n, invalid, joined = [], [], [], []
             for turn, role, content, calls, broken, result_of, result, answered, is_result in zip(*[c.to_pylist() for i, c in enumerate(batch.columns) if i not in (0, 2)], strict=True):
-                x = {"content": content, "role": role, "turn": turn}
-                if calls:
-                    have = set(answered or ())
-                    x["tool_calls"] = [{"arguments": json.loads(c["arguments"]), "answered": c["id"] in have, "id": c["id"], "name": c["name"], **({"problems": c["problems"]} if c["problems"] else {})} for c in calls]
-                if result_of is not None:
-                    x |= {"content": json.loads(result), "tool_call_id": result_of}
-                lines.append(canonical(x))
+                lines.append(line(turn, role, content, calls or [], result_of, result, set(answered or ())))
                 n.append(len(calls))
                 invalid.append(broken + sum(bool(c["problems"]) for c in calls))
                 joined.append(bool(is_result) or bool(calls) and len(set(answered or ())) == len({c["id"] for c in calls}))

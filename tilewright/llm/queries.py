@@ -56,7 +56,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked(table(spark, sf_dir, "conversations"))
+    return chat.linked(table(spark, sf_dir, "conversations"), chat.SCHEMAS)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
