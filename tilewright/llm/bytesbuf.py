@@ -83,6 +83,31 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = WORD) -> t
     return low, starts, ends, substring_hash(prefix(low), starts, ends), first
 
 
+class Known:
+    """Values of sorted 64-bit hashes, found by the hashes' top bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values, bits = keys[order], values[order], max(len(keys), 2).bit_length() + 1
+        self.shift = U64(64 - bits)
+        self.starts = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=U64)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key's first occurrence, -1 where a key isn't there."""
+        top = (keys >> self.shift).astype(np.int64)
+        place, left = self.starts[top], self.starts[top + 1]
+        left -= place
+        out = np.full(len(keys), -1, np.int32)
+        which = np.flatnonzero(left)
+        place, left = place[which], left[which]
+        while len(which):
+            same = self.keys[place] == keys[which]
+            out[which[same]] = place[same]
+            going = np.flatnonzero(~same & (left > 1))
+            which, place, left = which[going], place[going] + 1, left[going] - 1
+        return out
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ..., counts[0] of them, then those of starts[1], ..."""
     total = int(counts.sum())
