@@ -17,7 +17,11 @@ Exact copies of a whole text aren't compared: all but the first are repeats thro
 frequent that their group would not fit a task (an estimate from a sample decides; it changes the
 way, not the result) are compared by 128-bit hashes of each string in a distributed aggregation.
 
-Edge cases: null text is empty; texts under 100 bytes stay whole; documents are ordered by doc_id,
+Periodic texts have one anchor at every period. Equal anchors in a row share a context of up to ``RUN``
+starts, and a context that repeats an earlier one of its document goes without its bytes. So the bytes
+sent are few times the text's, whatever the text.
+
+Edge cases: null text is empty; texts under 100 bytes stay whole; very long ones of few characters, see above; documents are ordered by doc_id,
 null first, and rows of one doc_id by a hash of the text; repeated rows: one stays, the rest are
 copies; extra columns are ignored.
 """
@@ -33,19 +37,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesbuf import U64, mix, prefix, ragged, substring_hash
-from .shared import cut, text_slices
+from .shared import cut, stored, text_slices
 
 LEAST = 100
 WINDOW = 64  # anchors' places in a string; a power of two
 PIECE = LEAST - WINDOW + 1
 SLICE = 3 << 20
+#: String starts that one context holds at most where an anchor comes again and again (a run of one
+#: character, or of a short period).
+RUN = 1 << 17
 #: An anchor with more occurrences than this doesn't go to one task.
 GROUP = 200_000
 SAMPLE = 64
+CHUNK = 1 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """doc, anchor's hash, its place in the document, first and last start it stands for."""
+    """doc, anchor's hash, its place in the document, first and last start it stands for.
+
+    Where an anchor is followed by the same one, as in periodic text, up to ``RUN`` starts are one entry
+    with the place of the first.
+    """
     n = len(data)
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     if n < LEAST:
@@ -73,7 +85,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.append(first[1:], len(start)) - 1
     owner = np.repeat(doc, count)[first]
     base = offsets[owner]
-    return owner, h[place[first]].view(np.int64), place[first] - base, start[first] - base, start[last] - base
+    found, place, first, last = h[place[first]], place[first] - base, start[first] - base, start[last] - base
+    again = np.concatenate([[False], (found[1:] == found[:-1]) & (owner[1:] == owner[:-1])])
+    if again.any():
+        run = np.cumsum(~again) - 1
+        begin = first[~again][run]
+        head = ~again | np.concatenate([[False], (first[1:] - begin[1:]) // RUN != (first[:-1] - begin[:-1]) // RUN])
+        at = np.flatnonzero(head)
+        last = last[np.append(at[1:], len(last)) - 1]
+        owner, found, place, first = owner[at], found[at], place[at], first[at]
+    return owner, found.view(np.int64), place, first, last
 
 
 def bwt_classes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +166,12 @@ def repeats(h: np.ndarray, rank: np.ndarray, start: np.ndarray, left: np.ndarray
     copies, u = order[~first], order[first]
     out = [(copies, start[copies], start[copies] + span[copies] + LEAST)]
     _, inverse, n = np.unique(h[u], return_inverse=True, return_counts=True)
-    u = u[n[inverse] > 1]
+    run = np.zeros(len(n), bool)  # a context of several anchors may repeat itself, or any place of it
+    run[inverse[span[u] >= WINDOW]] = True
+    some = (n[inverse] > 1) | run[inverse]
+    u, run = u[some], run[inverse][some]
     if len(u):
-        u = u[_shared(h[u], left[u], span[u], body.take(pa.array(u)))]
+        u = u[run | _shared(h[u], left[u], span[u], body.take(pa.array(u)))]
     if len(u):
         data, offsets = _bytes(body.take(pa.array(u)))
         size = np.diff(offsets)
@@ -180,40 +204,74 @@ def _key():
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """h, r, place (place << 16 | starts before it << 8 | further starts): one row per anchor."""
+    """h, r, place (place << 24 | starts before it << 18 | further starts): one row per anchor."""
 
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for lo, _, data, offsets in text_slices(batch.column(2)):
                 doc, h, place, first, last = anchors(data, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys[lo + doc]), pa.array(place << 16 | (place - first) << 8 | (last - first))], names=["h", "r", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys[lo + doc]), pa.array(place << 24 | (place - first) << 18 | (last - first))], names=["h", "r", "place"])
 
     # all columns of the texts' shuffle, so that it is made once
     return docs.select("r", "doc_id", "text").mapInArrow(run, "h long, r long, place long")
 
 
+def _alike(data: np.ndarray, sums: tuple[np.ndarray, np.ndarray], owner: np.ndarray, h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Contexts that repeat an earlier one of their document and anchor, byte by byte."""
+    keys = [mix(substring_hash(x, start, start + size) ^ U64(k)) for k, x in enumerate(sums)]
+    order = np.lexsort((start, keys[1], keys[0], h, owner))
+    same = np.ones(len(order) - 1, bool)
+    for x in (owner, h, *keys, size):
+        same &= x[order][1:] == x[order][:-1]
+    again = order[1:][same]
+    head = order[np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))][1:][same]
+    out = np.zeros(len(order), bool)
+    ends = np.cumsum(size[again])
+    for lo, hi in _pieces(ends, CHUNK):  # held against the bytes
+        a, b = again[lo:hi], head[lo:hi]
+        equal = data[ragged(start[a], size[a])] == data[ragged(start[b], size[b])]
+        out[a] = np.minimum.reduceat(equal, np.cumsum(size[a]) - size[a])
+    return out
+
+
+def _pieces(ends: np.ndarray, limit: int):
+    """Ranges of rows of about ``limit`` bytes, from the rows' summed sizes."""
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _contexts(joined: DataFrame) -> DataFrame:
     """Rows (h, doc_id, r, start, left, span, body) from rows (r, doc_id, text, marks): the bytes that
-    an anchor's strings cover, where they start, how far before the anchor, and further starts."""
+    an anchor's strings cover, where they start, how far before the anchor, and further starts. The
+    body is empty where it is that of an earlier context of the document and the anchor."""
 
     def run(batches):
         names = ["h", "doc_id", "r", "start", "left", "span", "body"]
         for batch in batches:
             rs, ids, marks = batch.column(0), batch.column(1), batch.column(3)
-            for lo, hi, data, offsets in text_slices(batch.column(2), 1 << 20):
+            for lo, hi, data, offsets in text_slices(batch.column(2), CHUNK):
                 part = marks.slice(lo, hi - lo)
                 count = np.diff(part.offsets.to_numpy())
                 inner = part.flatten()
                 place = inner.field(1).to_numpy(zero_copy_only=False)
+                h = inner.field(0).to_numpy(zero_copy_only=False)
                 owner = np.repeat(np.arange(hi - lo), count)
-                left, span = place >> 8 & 255, place & 255
-                start, size = (place >> 16) - left, span + LEAST
-                body = data[ragged(offsets[owner] + start, size)]
-                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                bodies = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(body)])
-                take = pa.array(lo + owner)
-                yield pa.RecordBatch.from_arrays([inner.field(0), ids.take(take), rs.take(take), pa.array(start), pa.array(left), pa.array(span), bodies], names=names)
+                left, span = place >> 18 & 63, place & (1 << 18) - 1
+                start, size = (place >> 24) - left, span + LEAST
+                if not len(start):
+                    continue
+                again = _alike(data, (prefix(data), prefix(data ^ np.uint8(0x5A))), owner, h, offsets[owner] + start, size)
+                size = np.where(again, 0, size)
+                for a, b in _pieces(np.cumsum(size + 16), CHUNK):
+                    body = data[ragged(offsets[owner[a:b]] + start[a:b], size[a:b])]
+                    ends = np.concatenate([[0], np.cumsum(size[a:b])]).astype(np.int32)
+                    bodies = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(body)])
+                    take = pa.array(lo + owner[a:b])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), ids.take(take), rs.take(take), pa.array(start[a:b]), pa.array(left[a:b]), pa.array(span[a:b]), bodies], names=names)
 
     return joined.mapInArrow(run, "h long, doc_id long, r long, start long, left long, span long, body binary")
 
@@ -236,6 +294,12 @@ def _shared(h: np.ndarray, left: np.ndarray, span: np.ndarray, bodies: pa.Array)
 _RANGE = "r long, lo long, hi long"
 
 
+def _held(part: pa.RecordBatch) -> int:
+    """Bytes of a part's contexts, with something for each row."""
+    return (pc.sum(pc.binary_length(part.column(6))).as_py() or 0) + 32 * part.num_rows
+
+
+
 def _compared(contexts: DataFrame) -> DataFrame:
     """Repeated ranges (r, lo, hi): partitions by anchor, whole groups, slices of bounded size."""
 
@@ -244,9 +308,15 @@ def _compared(contexts: DataFrame) -> DataFrame:
         t = (t if upto is None else t.slice(0, upto)).combine_chunks()
         if not len(t):
             return
+        copy = pc.equal(pc.binary_length(t["body"]), 0)
+        lone = t.filter(copy)
+        if len(lone):
+            start = lone["start"].to_numpy()
+            yield pa.RecordBatch.from_arrays([lone["r"].combine_chunks(), pa.array(start), pa.array(start + lone["span"].to_numpy() + LEAST)], names=["r", "lo", "hi"])
+        t = t.filter(pc.invert(copy)).combine_chunks()
         h = t["h"].to_numpy()
         same = h[1:] == h[:-1]
-        t = t.filter(pa.array(np.concatenate([same, [False]]) | np.concatenate([[False], same]))).combine_chunks()
+        t = t.filter(pa.array((np.concatenate([same, [False]]) | np.concatenate([[False], same]))[: len(h)] | (t["span"].to_numpy() >= WINDOW))).combine_chunks()
         if not len(t):
             return
         ids = pc.fill_null(t["doc_id"], np.iinfo(np.int64).min).to_numpy()
@@ -265,7 +335,7 @@ def _compared(contexts: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 4096):
                 piece = batch.slice(at, 4096)
                 parts.append(piece)
-                size += int(np.sum(piece.column(5).to_numpy())) + LEAST * piece.num_rows
+                size += _held(piece)
                 if size >= SLICE:
                     h = np.concatenate([p.column(0).to_numpy() for p in parts])
                     end = int(np.searchsorted(h, h[-1], "left")) if len(h) else 0
@@ -273,7 +343,7 @@ def _compared(contexts: DataFrame) -> DataFrame:
                         yield from take(parts, end)
                         rest = pa.Table.from_batches(parts).slice(end).combine_chunks()
                         parts = rest.to_batches()
-                        size = sum(int(np.sum(p.column(5).to_numpy())) + LEAST * p.num_rows for p in parts)
+                        size = sum(map(_held, parts))
         if parts:
             yield from take(parts)
 
@@ -286,14 +356,18 @@ def _hashed(contexts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                doc_id, r, first, span, body = (batch.column(c)[k].as_py() for c in range(5))
-                body, s = np.frombuffer(body, np.uint8), np.arange(span + 1)
-                a = substring_hash(prefix(body), s, s + LEAST)
-                b = mix(substring_hash(prefix(body ^ np.uint8(0x5A)), s, s + LEAST) ^ U64(0xA5A5))
-                n = len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, r)), pa.array(first + s)], names=["a", "b", "doc_id", "r", "start"])
-
+            ids, rs = batch.column(0), batch.column(1)
+            first, span = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for lo, hi, data, offsets in text_slices(batch.column(4), CHUNK):
+                n = span[lo:hi] + 1
+                s = ragged(offsets[:-1], n)
+                a = substring_hash(prefix(data), s, s + LEAST)
+                b = mix(substring_hash(prefix(data ^ np.uint8(0x5A)), s, s + LEAST) ^ U64(0xA5A5))
+                take = pa.array(np.repeat(np.arange(lo, hi), n))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), ids.take(take), rs.take(take), pa.array(ragged(first[lo:hi], n))], names=["a", "b", "doc_id", "r", "start"])
+
+    copies = contexts.where(F.octet_length("body") == 0).select("r", F.col("start").alias("lo"), (F.col("start") + F.col("span") + LEAST).alias("hi"))
+    contexts = contexts.where(F.octet_length("body") > 0)
     keyed = contexts.withColumns({"k1": F.xxhash64("body"), "k2": F.xxhash64(F.lit(5), F.col("body"))})
     firsts = keyed.groupBy("h", "k1", "k2").agg(F.min(F.struct("doc_id", "r", "start", "span", "body")).alias("f"))
     slim = keyed.select("h", "k1", "k2", "r", "start", "span").join(firsts.select("h", "k1", "k2", F.col("f.r").alias("fr"), F.col("f.start").alias("fs")), ["h", "k1", "k2"])
@@ -301,7 +375,7 @@ def _hashed(contexts: DataFrame) -> DataFrame:
     each = firsts.select("f.*").mapInArrow(run, "a long, b long, doc_id long, r long, start long")
     first = each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "r", "start")).alias("f"))
     late = each.join(first, ["a", "b"]).where("not (r = f.r and start = f.start)").select("r", F.col("start").alias("lo"), (F.col("start") + LEAST).alias("hi"))
-    return whole.unionByName(late)
+    return whole.unionByName(late).unionByName(copies)
 
 
 def dropped(docs: DataFrame, *, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
@@ -319,20 +393,22 @@ def dropped(docs: DataFrame, *, key: str = "doc_id", text: str = "text", group:
     source = docs.where(F.octet_length("text") >= LEAST).select(_key().alias("r"), "doc_id", "text").join(copies, "r", "left_anti")
     sample = source.where(F.pmod(F.xxhash64(F.lit(3), "r"), F.lit(SAMPLE)) == 0)
     most = max(2, group // SAMPLE)
-    crowded = [r.h for r in _anchored(sample).groupBy("h").count().where(F.col("count") >= most).orderBy(F.desc("count"), "h").limit(100_000).select("h").collect()]
+    hot = stored(_anchored(sample).groupBy("h").count().where(F.col("count") >= most).select("h"))
+    crowded = hot.count()
+    # as many as the sample's anchors over ``most``; sent while that is few
+    hot = None if not crowded else F.broadcast(hot) if crowded <= 1_000_000 else hot
     marks = _anchored(source)
-    hot = docs.sparkSession.createDataFrame([(h,) for h in crowded], "h long") if crowded else None
     # an anchor's rows are at most about ``group``, or it is known to be crowded and dealt out
     crowd = F.lit(False) if hot is None else F.coalesce("crowd", F.lit(False))
-    again = marks if hot is None else marks.join(F.broadcast(hot.withColumn("crowd", F.lit(True))), "h", "left")
+    again = marks if hot is None else marks.join(hot.withColumn("crowd", F.lit(True)), "h", "left")
     again = again.withColumn("crowd", crowd).withColumn("salt", F.when(F.col("crowd"), F.pmod(F.xxhash64("r"), F.lit(256))).otherwise(0))
-    again = again.withColumn("n", F.count("*").over(Window.partitionBy("h", "salt"))).where("n > 1 or crowd").select("h", "r", "place")
+    again = again.withColumn("n", F.count("*").over(Window.partitionBy("h", "salt"))).where(F.col("crowd") | (F.col("n") > 1) | (F.col("place").bitwiseAND((1 << 18) - 1) >= WINDOW)).select("h", "r", "place")
     listed = again.groupBy("r").agg(F.collect_list(F.struct("h", "place")).alias("marks"))
     contexts = _contexts(source.join(listed, "r").select("r", "doc_id", "text", "marks"))
     if hot is None:
         ranges = _compared(contexts)
     else:
-        ranges = _compared(contexts.join(F.broadcast(hot), "h", "left_anti").select(*contexts.columns)).unionByName(_hashed(contexts.join(F.broadcast(hot), "h", "left_semi").select(*contexts.columns)))
+        ranges = _compared(contexts.join(hot, "h", "left_anti").select(*contexts.columns)).unionByName(_hashed(contexts.join(hot, "h", "left_semi").select(*contexts.columns)))
     per_doc = ranges.groupBy("r").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     changed = _applied(source.join(per_doc, "r").select("r", "doc_id", "text", "ranges"))
     whole = F.col("copy") & (F.col("n_bytes") >= LEAST)
