@@ -1,8 +1,9 @@
 """Secret scanning with corpus-wide ownership frequency.
 
 Candidates are found by pattern. Each candidate's value is hashed, and the hashes are counted over
-the whole corpus by distinct repositories and owners: a value that several owners hold is a widely
-copied example, one that stays with a single owner and looks random is taken for a live credential.
+the whole corpus by distinct repositories and owners: a value that several owners hold, in
+``shared_repos`` repositories or more, is a widely copied example; one that stays with a single owner
+and looks random is taken for a live credential, in however many of the owner's repositories it is.
 
 Edge cases: null text is empty; repeated rows give repeated results and add nothing to the distinct
 counts; a null owner or repository counts as one of its own; extra columns pass through.
@@ -101,23 +102,24 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.join(by_repo, "value_hash")
 
 
-def assess(docs: DataFrame, *, owner: str = "source", repo: str = "doc_id", text: str = "text", keep: list[str] | None = None, shared_owners: int = 2) -> DataFrame:
-    """``scan`` with each row's n_live and n_example.
+def assess(docs: DataFrame, *, owner: str = "source", repo: str = "doc_id", text: str = "text", keep: list[str] | None = None, shared_owners: int = 2, shared_repos: int = 3) -> DataFrame:
+    """``scan`` with each row's n_live and n_example, and the greatest n_owners and n_repos of its values.
 
-    A candidate that ``shared_owners`` or more owners hold is an example; one of a single owner that
-    looks random is live; the rest are neither.
+    A candidate that ``shared_owners`` or more owners hold in ``shared_repos`` or more repositories is an
+    example; one of fewer owners that looks random is live; the rest are neither.
     """
     keep = list(dict.fromkeys([*(keep or []), owner, repo]))
     rows = cut(scan(docs, keep=keep, text=text).withColumn("__row", F.monotonically_increasing_id()))
     flat = rows.where(F.size("candidates") > 0).select("__row", F.col(f"`{owner}`").alias("owner"), F.col(f"`{repo}`").alias("repo"), F.explode("candidates").alias("c")).select("__row", "owner", "repo", "c.value_hash", "c.random")
     judged = flat.select("__row", "value_hash", "random").join(ownership(flat), "value_hash")
-    example = F.col("n_owners") >= shared_owners
-    per_row = judged.groupBy("__row").agg(F.sum((~example & F.col("random")).cast("long")).alias("n_live"), F.sum(example.cast("long")).alias("n_example"))
-    return rows.join(per_row, "__row", "left").drop("__row", "candidates").fillna(0, ["n_live", "n_example"])
+    several = F.col("n_owners") >= shared_owners
+    example = several & (F.col("n_repos") >= shared_repos)
+    per_row = judged.groupBy("__row").agg(F.sum((~several & F.col("random")).cast("long")).alias("n_live"), F.sum(example.cast("long")).alias("n_example"), F.max("n_owners").alias("n_owners"), F.max("n_repos").alias("n_repos"))
+    return rows.drop("n_live", "n_example", "n_owners", "n_repos").join(per_row, "__row", "left").drop("__row", "candidates").fillna(0, ["n_live", "n_example", "n_owners", "n_repos"])
 
 
 def digest(assessed: DataFrame) -> DataFrame:
-    return assessed.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
+    return assessed.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "n_owners", "n_repos")
 
 
 def without_live(docs: DataFrame, *, owner: str = "source", repo: str = "doc_id", text: str = "text", length: str = "n_chars", shared_owners: int = 2, mask: str = "[secret]") -> DataFrame:
