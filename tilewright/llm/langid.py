@@ -1,8 +1,9 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Characters are lower-cased and mapped to 63 classes: the most frequent letters of the training texts
-have one each, other letters share the rest, everything else is the boundary class 0. Features are
-n-grams of one to three classes. A text's TF is an n-gram's share of its positions; document
+have one each, and every other letter is given one of the 63 by a hash, so that n-grams of any script
+are told apart (as in feature hashing, some fall together); all that is no letter is the boundary class
+0. Features are n-grams of one to three classes. A text's TF is an n-gram's share of its positions; document
 frequencies are counted over all training documents. Weights are fitted by follow-the-regularised-
 leader with elastic-net penalties on a bounded sample of the labelled documents (``per_lang`` for
 each language), and a temperature is then fitted on a fifth of that sample, kept apart.
@@ -22,26 +23,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bytesbuf import U64, mix
 from .shared import keep_rows, per_text, string, text_slices
 
 CLASSES = 64
 GRAMS = CLASSES**3
 SIZE = GRAMS + CLASSES**2 + CLASSES
 UND = "und"
-_ASTRAL = 0x10000
+_POINTS = 0x110000
 
 _folded: dict[str, np.ndarray] = {}
 
 
 def _fold() -> np.ndarray:
-    """Code point to its lower-case letter, 0 for what is no letter; what lies past 0xFFFF is one letter."""
+    """Code point to its lower-case letter, 0 for what is no letter."""
     if not _folded:
-        table = np.zeros(_ASTRAL + 1, np.uint32)
-        for cp in range(_ASTRAL):
+        table = np.zeros(_POINTS, np.uint32)
+        for cp in range(_POINTS):
             c = chr(cp)
             if c.isalpha():
-                table[cp] = min(ord(c.lower()[0]), _ASTRAL)
-        table[_ASTRAL] = _ASTRAL
+                table[cp] = ord(c.lower()[0])
         _folded["t"] = table
     return _folded["t"]
 
@@ -50,7 +51,7 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Folded letters (0: none) of all documents in a row, and offsets in code points."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return _fold()[np.minimum(points, _ASTRAL)], heads[offsets]
+    return _fold()[points], heads[offsets]
 
 
 @dataclass
@@ -87,21 +88,21 @@ def trigrams(cls: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _alphabet(docs: DataFrame, text: str) -> np.ndarray:
-    """Classes 1-62 for the most frequent letters (ties: smaller code point), 63 for the others."""
+    """Classes 1-63 for the most frequent letters (ties: smaller code point), one by a hash for the others."""
 
     def run(batches):
-        total = np.zeros(_ASTRAL + 1, np.int64)
+        total = np.zeros(_POINTS, np.int64)
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 folded, _ = letters(data, offsets)
-                total += np.bincount(folded, minlength=_ASTRAL + 1)
+                total += np.bincount(folded, minlength=_POINTS)
         total[0] = 0
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["letter", "n"])
 
     counts = docs.select(text).mapInArrow(run, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "letter").limit(CLASSES - 2).collect()
-    alphabet = np.full(_ASTRAL + 1, CLASSES - 1, np.uint8)
+    top = counts.orderBy(F.desc("n"), "letter").limit(CLASSES - 1).collect()
+    alphabet = (mix(np.arange(_POINTS, dtype=U64)) % U64(CLASSES - 1)).astype(np.uint8) + np.uint8(1)
     alphabet[0] = 0
     for k, r in enumerate(top, 1):
         alphabet[r.letter] = k
