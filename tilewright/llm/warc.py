@@ -7,8 +7,11 @@ with the smallest page_id is the response and the others are revisit records tha
 
 Reading parses whole files record by record. Records that aren't segmented are decoded at once; the
 segments of the others are grouped by origin identifier, ordered by number, checked against the
-total length and then decoded. Digests and lengths are computed from the decoded payload and held
-against the headers (``verified``).
+total length and then decoded. Digests and lengths of responses are computed from the decoded payload
+and held against the headers (``verified``); those of revisits, which carry no payload, are their headers',
+held against the response that WARC-Refers-To names, whose page they refer to. Records that are cut
+short, have no length or identifier, broken framing or incomplete segments end nothing: reading goes on
+at the next record, and they are given apart where asked for.
 
 Archives are written by Spark's text sink (gzip, records end with the format's own separator), so a
 lost executor's files are written again by another and only committed files are read. A file holds
@@ -36,10 +39,11 @@ from pyspark.sql import types as T
 
 from .shared import cut, long, shared_dir, string, to_arrow
 
-SEGMENT = 64 << 10
-CHUNK = 8 << 10
-FILE_RECORDS = 1000
+SEGMENT = 8 << 10
+CHUNK = 2 << 10
+FILE_RECORDS = 4000
 END = b"\r\n\r\n"
+GZIP = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -99,27 +103,43 @@ def page_records(page_id: int | None, url: str | None, html: bytes, copy: int, f
         yield record("continuation", f"{own[:-1]}:{k}>", part, WARC_Date=common["WARC_Date"], WARC_Target_URI=common["WARC_Target_URI"], WARC_Segment_Origin_ID=own, WARC_Segment_Number=k, **last)
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-cased name, block) of the records of a file, gzipped or not, one member or many."""
-    if raw[:2] == b"\x1f\x8b":
-        out, rest = [], raw
-        while rest:
-            d = zlib.decompressobj(31)
+def _plain(raw: bytes) -> bytes:
+    """What gzip members hold, one or many; a broken member yields what could be read of it, and what
+    follows up to the next member's head is skipped."""
+    if raw[:2] != GZIP[:2]:
+        return raw
+    out, rest = [], raw
+    while rest:
+        d = zlib.decompressobj(31)
+        try:
             out.append(d.decompress(rest) + d.flush())
             rest = d.unused_data.lstrip(b"\0")
-        raw = b"".join(out)
-    at = 0
+        except zlib.error:
+            more = rest.find(GZIP, 1)
+            rest = rest[more:] if more > 0 else b""
+    return b"".join(out)
+
+
+def parse(raw: bytes) -> Iterator[tuple[dict[str, str] | None, bytes]]:
+    """(headers by lower-cased name, block) of the records of a file, gzipped or not.
+
+    What is no whole record, up to the next line that begins one, comes as (None, those bytes)."""
+    raw, at = _plain(raw), 0
     while at < len(raw):
         stop = raw.find(END, at)
-        if stop < 0 or raw[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        head = re.sub(r"\r\n[ \t]+", " ", raw[at:stop].decode("utf-8", "replace"))
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.split("\r\n")[1:])}
-        size = int(fields["content-length"])
-        block = raw[stop + 4 : stop + 4 + size]
-        if len(block) < size:
-            raise ValueError(f"record at byte {at} is cut short")
-        yield fields, block
+        fields, size = None, None
+        if stop >= 0 and raw[at : at + 5] == b"WARC/":
+            head = re.sub(r"\r\n[ \t]+", " ", raw[at:stop].decode("utf-8", "replace"))
+            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.split("\r\n")[1:])}
+            stated = fields.get("content-length", "")
+            size = int(stated) if stated.isascii() and stated.isdigit() and len(stated) < 16 else None
+        if size is None or stop + 4 + size > len(raw) or raw[stop + 4 + size : stop + 6 + size] not in (b"\r\n", b""):
+            more = raw.find(b"\r\nWARC/", at)
+            more = len(raw) if more < 0 else more + 2
+            yield None, raw[at:more]
+            at = more
+            continue
+        yield fields, raw[stop + 4 : stop + 4 + size]
         at = stop + 4 + size
         while raw[at : at + 2] == b"\r\n":
             at += 2
@@ -155,6 +175,9 @@ def write(pages: DataFrame, path: str, *, least: int = 0, key: str = "page_id",
     lines.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+#: What can be wrong with a record that is whole: no number, no identifier, or a broken framing.
+MALFORMED = (ValueError, KeyError, OverflowError)
+
 _FOUND = T.StructType([string("record_id"), long("page_id"), string("record_type"), string("refers_id"), long("refers_to"), string("stated_digest"), long("payload_bytes"), string("payload_digest"), T.StructField("verified", T.BooleanType()), long("segment"), long("total"), T.StructField("block", T.BinaryType())])
 
 
@@ -179,8 +202,13 @@ def _row(fields: dict[str, str], block: bytes) -> tuple | None:
     return (fields["warc-record-id"], *head, len(body), digest, stated in (None, digest), None, None, None)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row per response or revisit record of the archives under ``path``."""
+def _malformed(block: bytes) -> tuple:
+    return (None, None, "malformed", None, None, None, len(block), b32sha1(block), False, None, None, None)
+
+
+def read(spark: SparkSession, path: str, *, malformed: bool = False) -> DataFrame:
+    """A row per response or revisit record of the archives under ``path``. ``malformed``: also one for
+    each record that can't be read (type malformed, not verified), with length and digest of its bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     types = [to_arrow(f.dataType) for f in _FOUND]
     names = [f.name for f in _FOUND]
@@ -192,7 +220,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for raw in batch.column(0):
-                rows = [r for f, b in parse(raw.as_py()) if (r := _row(f, b))]
+                rows = []
+                for fields, block in parse(raw.as_py()):
+                    try:
+                        row = _row(fields, block) if fields else _malformed(block)
+                    except MALFORMED:
+                        row = _malformed(block)
+                    rows += [row] * (row is not None)
                 yield batch_of(rows)
 
     found = cut(files.mapInArrow(run, _FOUND))
@@ -203,9 +237,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for identity, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts.sort(key=lambda p: p["segment"])
                 head, block = parts[0], b"".join(p["block"] for p in parts)
-                if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)) or len(block) != parts[-1]["total"]:
-                    raise ValueError(f"segments of {identity} are incomplete")
-                body, _ = payload(block)
+                try:
+                    if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)) or len(block) != parts[-1]["total"]:
+                        raise ValueError(f"segments of {identity} are incomplete")
+                    body, _ = payload(block)
+                except MALFORMED:
+                    rows.append(_malformed(block))
+                    continue
                 digest = b32sha1(body)
                 rows.append((identity, head["page_id"], head["record_type"], head["refers_id"], head["refers_to"], head["stated_digest"], len(body), digest, head["stated_digest"] in (None, digest), None, None, None))
             yield batch_of(rows)
@@ -214,11 +252,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # a group is the segments of one record, which was one row when written
     joined = found.where("segment is not null").groupBy("record_id").agg(F.collect_list(part).alias("parts")).mapInArrow(whole, _FOUND)
     full = found.where("segment is null").unionByName(joined).drop("segment", "total", "block")
-    target = full.where("record_type = 'response'").select(F.col("record_id").alias("t_id"), F.col("payload_bytes").alias("t_bytes"), F.col("payload_digest").alias("t_digest"))
-    revisit = full.where("record_type = 'revisit'").join(target, F.col("refers_id") == F.col("t_id"), "left")
+    target = full.where("record_type = 'response'").select(F.col("record_id").alias("t_id"), F.col("page_id").alias("t_page"), F.col("payload_bytes").alias("t_bytes"), F.col("payload_digest").alias("t_digest"))
+    target = target.dropDuplicates(["t_id"])
+    revisit = full.where("record_type = 'revisit'").join(target, F.col("refers_id") == F.col("t_id"), "left").withColumn("refers_to", F.coalesce("t_page", "refers_to"))
     checked = revisit.withColumn("verified", F.coalesce((F.col("t_bytes") == F.col("payload_bytes")) & (F.col("t_digest") == F.col("payload_digest")), F.lit(False)))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"]
-    return full.where("record_type = 'response'").select(columns).unionByName(checked.select(columns))
+    plain = full.where("record_type = 'response'" + (" or record_type = 'malformed'" if malformed else ""))
+    return plain.select(columns).unionByName(checked.select(columns))
 
 
 def archive(pages: DataFrame, *, least: int = 0) -> DataFrame:
