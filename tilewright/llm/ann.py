@@ -8,7 +8,8 @@ dropped and the rest is reranked on the original vectors in double precision.
 
 Every distinct vector is indexed once and stands for all its ids; of these only the ``k + 1``
 smallest can be in a result. Vectors are dealt into shards and queries into blocks of bounded size;
-a task holds the index of one shard and answers one block.
+a task holds the index of one shard and answers one block. So each vector is copied once for every
+``block_rows`` queries, and each query once for every ``shard_rows`` vectors.
 
 The rotation and the radius are fitted on at most ``sample`` vectors (the first by a hash); the
 radius covers 97 % of the sample's own nearest neighbours. Where it retrieves fewer than are asked
@@ -43,6 +44,7 @@ class Codes:
     radius: int
 
     def of(self, x: np.ndarray) -> np.ndarray:
+        x = _scaled(x)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         signs = (unit - self.mean) @ self.turn > 0
         full = np.zeros((len(x), PARTS * BITS), bool)
@@ -51,6 +53,7 @@ class Codes:
 
 
 def fit(x: np.ndarray, k: int, turns: int = 40, coverage: float = 0.97) -> Codes:
+    x = _scaled(x)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(0)
     c = x - mean
@@ -96,6 +99,13 @@ class Shard:
         return rows[_POP[self.codes[rows] ^ code].sum(1, dtype=np.int64) <= radius]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would not be finite, or would vanish, by a power of two; others as they are."""
+    most = np.abs(x).max(1)
+    odd = (most > 2.0**400) | (most < 2.0**-400)
+    return np.where(odd[:, None], np.ldexp(x, -np.frexp(most)[1][:, None]), x) if odd.any() else x
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -104,7 +114,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
-def search(vectors: DataFrame, is_query, *, k: int = 5, key: str = "vec_id", vector: str = "embedding", sample: int = 4096, shard_rows: int = 4_000, block_rows: int = 1_000) -> DataFrame:
+def search(vectors: DataFrame, is_query, *, k: int = 5, key: str = "vec_id", vector: str = "embedding", sample: int = 4096, shard_rows: int = 16_000, block_rows: int = 8_000) -> DataFrame:
     """query_id, rank, vec_id, score for the rows where the column ``is_query`` holds, against all
     other rows."""
     x = F.col(vector).cast("array<double>")
@@ -135,6 +145,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 5, key: str = "vec_id", vec
             model = shared.value
             ids, v = left["rep"].to_numpy(), _matrix(left["v"])
             queries, q = right["rep"].to_numpy(), _matrix(right["v"])
+            v, q = _scaled(v), _scaled(q)
             norm, qnorm = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
             shard, codes = Shard(model.of(v)), model.of(q)
             want = min(k + 1, len(ids))
