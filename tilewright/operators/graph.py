@@ -141,3 +141,48 @@ def chain_context(placed: DataFrame, value: str, width: int, decay: float) -> Da
         num = num + F.coalesce(x * weight, F.lit(0.0))
         den = den + F.when(x.isNotNull(), weight).otherwise(0.0)
     return placed.select("id", (num / den).alias("context"))
+
+
+def link_weights(links: DataFrame, bias: float, temperature: float) -> DataFrame:
+    """Links as edges in both directions: sigmoid((s - bias) / temperature), summed over repeats."""
+    w = 1 / (1 + F.exp(-(F.col("s") - bias) / temperature))
+    one = links.select("session", "src", "dst", w.alias("w"))
+    both = one.unionByName(one.select("session", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    return both.groupBy("session", "src", "dst").agg(F.sum("w").alias("w"))
+
+
+def united(parts: list[tuple[DataFrame, float]]) -> DataFrame:
+    """Edge tables as one: weights times each table's factor, summed."""
+    out = None
+    for edges, factor in parts:
+        one = edges.select("session", "src", "dst", (F.col("w") * factor).alias("w"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("session", "src", "dst").agg(F.sum("w").alias("w"))
+
+
+def gated(knn: DataFrame, links: DataFrame, beta: float, mode: str = "row") -> DataFrame:
+    """One row-normalised edge table of two: (1 - b) of the neighbours', b of the links'. b is ``beta`` in
+    rows that have links (mode ``row``), or ``beta`` times their weight up to 2, halved (``abs``)."""
+    degree = links.groupBy("src").agg(F.sum("w").alias("d"))
+    gate = degree.select("src", (F.lit(beta) * (F.least(F.col("d") / 2, F.lit(1.0)) if mode == "abs" else F.lit(1.0))).alias("b"), "d")
+    near = row_normalised(knn).join(gate.drop("d"), "src", "left").select("session", "src", "dst", (F.col("w") * (1 - F.coalesce("b", F.lit(0.0)))).alias("w"))
+    far = links.join(gate, "src").select("session", "src", "dst", (F.col("w") / F.col("d") * F.col("b")).alias("w"))
+    return near.unionByName(far).groupBy("session", "src", "dst").agg(F.sum("w").alias("w"))
+
+
+def walk(links: DataFrame, steps: int) -> DataFrame:
+    """(src, dst, hop, conf): up to ``steps`` links ahead and back; conf is the product of the links' on
+    the way. ``links`` has src, dst, conf."""
+    step = links.select("src", "dst", "conf")
+    sides = []
+    for sign, one in ((1, step), (-1, step.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "conf"))):
+        now = one
+        sides.append(now.withColumn("hop", F.lit(sign)))
+        for h in range(2, steps + 1):
+            ahead = one.select(F.col("src").alias("dst"), F.col("dst").alias("far"), F.col("conf").alias("more"))
+            now = now.join(ahead, "dst").select("src", F.col("far").alias("dst"), (F.col("conf") * F.col("more")).alias("conf"))
+            sides.append(now.withColumn("hop", F.lit(sign * h)))
+    out = sides[0]
+    for s in sides[1:]:
+        out = out.unionByName(s)
+    return out

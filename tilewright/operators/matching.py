@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -162,3 +162,16 @@ def match(pairs: DataFrame, *, method: str = "assignment", threshold: float = -n
         return out
 
     return tall.groupBy("session", "member").applyInPandas(run, f"session {kind}, member int, src long, dst long, s double")
+
+
+def soft_pairs(pairs: DataFrame, tau: float, rounds: int) -> DataFrame:
+    """Sinkhorn marginals over candidate pairs only (src, dst, s): rows and columns are scaled to one in
+    turn, each with a slack of score 0 of its own. Returns src, dst, p."""
+    top = F.max("s").over(Window.partitionBy("session"))
+    now = pairs.withColumns({"k": F.exp((F.col("s") - F.greatest(top, F.lit(0.0))) / tau), "slack": F.exp(-F.greatest(top, F.lit(0.0)) / tau)})
+    now = now.withColumns({"row_slack": F.col("slack"), "col_slack": F.col("slack")})
+    for _ in range(rounds):
+        for side, slack in (("src", "row_slack"), ("dst", "col_slack")):
+            total = F.sum("k").over(Window.partitionBy(side)) + F.col(slack)
+            now = now.withColumn("__t", total).withColumns({"k": F.col("k") / F.col("__t"), slack: F.col(slack) / F.col("__t")}).drop("__t")
+    return now.select("src", "dst", F.col("k").alias("p"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import MOD, lcg
+
 
 def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return df.groupBy(F.col(truth).alias("truth"), F.col(guess).alias("guess")).agg(F.count("*").alias("n"))
@@ -32,13 +34,21 @@ def agreement(votes: DataFrame) -> DataFrame:
     return x.join(y, "id").groupBy("a", "b").agg(F.avg((F.col("la") == F.col("lb")).cast("int")).alias("share"))
 
 
+BINS = 4096
+
+
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """Area under the ROC by rank sums, average ranks on ties: scores are counted first, so the one
-    global order is over distinct scores."""
+    """Area under the ROC by rank sums, average ranks on ties. Scores are counted first; distinct ones
+    are ordered inside ``BINS`` ranges of equal width, whose totals are the only global order."""
     by = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("int")).alias("p"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    ranked = ranked.withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
+    ends = by.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    width = F.col("__hi") - F.col("__lo")
+    binned = by.join(F.broadcast(ends)).withColumn("__b", F.coalesce(F.least(F.floor((F.col(score) - F.col("__lo")) / F.nullif(width, F.lit(0.0)) * BINS), F.lit(BINS - 1)), F.lit(0)))  # one row
+    totals = binned.groupBy("__b").agg(F.sum("n").alias("all"))
+    before = totals.select(F.col("__b").alias("__c"), F.coalesce(F.sum("all").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    w = Window.partitionBy("__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    inner = binned.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    ranked = inner.join(F.broadcast(before), F.col("__b") == F.col("__c")).withColumn("rank", F.col("before") + F.col("below") + (F.col("n") + 1) / 2)  # BINS rows at most
     s = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return s.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 
@@ -69,7 +79,7 @@ def bootstrap(df: DataFrame, group: str, value: str, draws: int, seed: int) -> D
     g = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(value).alias("s"))
     placed = g.withColumn("place", F.row_number().over(Window.orderBy(group)) - 1)
     size = g.count()
-    picks = df.sparkSession.range(draws * size).select(F.floor(F.col("id") / size).alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(size)).alias("place"))
+    picks = df.sparkSession.range(draws * size).select(F.floor(F.col("id") / size).alias("draw"), F.floor(lcg(lcg(F.col("id"), seed)) / MOD * size).alias("place"))
     means = picks.join(placed, "place").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     return means.agg(q.alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("hi"))

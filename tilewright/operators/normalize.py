@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import settle
+
 
 def z_score(x: Column, by: list[str], eps: float) -> Column:
     w = Window.partitionBy(*by)
@@ -41,6 +43,10 @@ def quantile_map(df: DataFrame, reference: DataFrame, column: str, by: list[str]
     return out.withColumn("mapped", a + (b - a) * (F.col("__u") - lo)).drop("__u", "__q")
 
 
+#: Rows of a session that meet its matrix together; sessions whose sizes are sent to all tasks at most.
+GROUP, SENT = 20_000, 100_000
+
+
 def gram(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
     """Mergeable sums for covariances: n, sums s and the flattened sum g of outer products, one row
     per group and per task at most before they are added. A held-out group is a difference."""
@@ -95,12 +101,22 @@ def whiten(df: DataFrame, session: str, key: str, vector: str, shrink: float = 0
     kind = dict(df.dtypes)[session]
     models = sums.groupBy(session).applyInPandas(transform, f"{session} {kind}, mean array<double>, w array<double>")
 
-    def apply(batches):
-        for pdf in batches:
-            out = [(np.asarray(w).reshape(len(m), -1) @ (np.asarray(v, float) - np.asarray(m))).tolist() for v, m, w in zip(pdf[vector], pdf["mean"], pdf["w"], strict=True)]
-            yield pd.DataFrame({session: pdf[session], key: pdf[key], "w": out})
-
-    return df.select(session, key, vector).join(models, session).mapInPandas(apply, f"{session} {kind}, {key} long, w array<double>")
+    def apply(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({session: [], key: [], "w": []})
+        m = np.asarray(model["mean"].iloc[0])
+        x = np.stack(rows[vector].to_numpy()).astype(float) - m
+        out = x @ np.asarray(model["w"].iloc[0]).reshape(len(m), -1).T
+        return pd.DataFrame({session: rows[session], key: rows[key], "w": list(out)})
+
+    # a session is dealt into groups of bounded size; each gets the matrix once
+    models = settle(models)
+    groups = sums.select(session, F.ceil(F.col("n") / GROUP).cast("int").alias("__g"))
+    sizes = F.broadcast(groups) if models.count() <= SENT else groups
+    dealt = df.select(session, key, vector).join(sizes, session).withColumn("__s", F.pmod(F.xxhash64(key), F.col("__g")).cast("int"))
+    models = models.join(groups, session)
+    each = models.withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__g") - 1)))
+    return dealt.groupBy(session, "__s").cogroup(each.groupBy(session, "__s")).applyInPandas(apply, f"{session} {kind}, {key} long, w array<double>")
 
 
 def pca(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:

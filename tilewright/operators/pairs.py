@@ -48,7 +48,12 @@ def topk(left: DataFrame, right: DataFrame, k: int, *, metric: str = "cosine") -
         s = np.round(s, 6) + 0.0
         rows, cols = [], []
         for r in range(len(ids)):
-            order = np.lexsort((others, -s[r]))
+            near = s[r]
+            if len(others) > k + 1:  # the k + 1 best and all that tie with the last of them
+                some = np.flatnonzero(near >= np.partition(near, len(near) - k - 1)[len(near) - k - 1])
+                order = some[np.lexsort((others[some], -near[some]))]
+            else:
+                order = np.lexsort((others, -near))
             order = order[others[order] != ids[r]][:k]
             rows.append(np.full(len(order), r))
             cols.append(order)
@@ -99,15 +104,27 @@ def candidates(sources: dict[str, DataFrame], cap: int) -> DataFrame:
 def twins(a: DataFrame, b: DataFrame, value: str, apart: float = 1e-6) -> DataFrame:
     """(session, a_id, b_id) of rows of one session whose arrays differ by less than ``apart`` everywhere.
 
-    Such arrays' sums differ by less than n * apart, so it is enough to compare rows whose sums are in
-    the same or a neighbouring bin of that width: an equi-join, confirmed by the difference.
+    Two sums with different signs differ by less than n * apart each, so it is enough to compare rows
+    that are in the same or neighbouring bins of that width by both: an equi-join, confirmed by the
+    difference. Rows of equal arrays meet once, by their arrays: copies are only expanded at the end.
     """
-    total = F.aggregate(value, F.lit(0.0), lambda s, x: s + x)
-    bin_ = F.floor(total / (F.size(value) * apart))
-    left = a.select("session", F.col("id").alias("a_id"), F.col(value).alias("__x"), F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("__k"))
-    right = b.select("session", F.col("id").alias("b_id"), F.col(value).alias("__y"), bin_.alias("__k"))
+    def forms(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("session", F.col(value).alias(name)).agg(F.min("id").alias(f"{name}id"))
+
+    def bins(c: str):
+        plain = F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+        turned = F.aggregate(F.transform(c, lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)), F.lit(0.0), lambda s, x: s + x)
+        return [F.floor(t / (F.size(c) * apart)) for t in (plain, turned)]
+
+    left, right = forms(a, "__x"), forms(b, "__y")
+    k, j = bins("__x")
+    left = left.withColumn("__k", F.explode(F.array(k - 1, k, k + 1))).withColumn("__j", F.explode(F.array(j - 1, j, j + 1)))
+    k, j = bins("__y")
+    right = right.withColumns({"__k": k, "__j": j})
     most = F.array_max(F.zip_with("__x", "__y", lambda x, y: F.abs(x - y)))
-    return left.join(right, ["session", "__k"]).where(most < apart).select("session", "a_id", "b_id")
+    met = left.join(right, ["session", "__k", "__j"]).where(most < apart).select("session", "__x", "__y")
+    first = a.select("session", F.col("id").alias("a_id"), F.col(value).alias("__x")).join(met, ["session", "__x"])
+    return first.join(b.select("session", F.col("id").alias("b_id"), F.col(value).alias("__y")), ["session", "__y"]).select("session", "a_id", "b_id")
 
 
 def binned(df: DataFrame, value: str, edges: list[float], table: DataFrame, bin_column: str = "bin") -> DataFrame:

@@ -37,10 +37,21 @@ def negatives(pairs: DataFrame, positive: Column, n: int) -> DataFrame:
     return pairs.withColumn("pos", positive.cast("int")).withColumn("r", F.row_number().over(order)).where((F.col("pos") == 1) | (F.col("r") <= n)).drop("r")
 
 
+def hashed_place(groups: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """(key, place): distinct groups' places in hash order, from 0. They are ordered inside 4096 ranges
+    of the hash; the ranges' totals are the only global order."""
+    g = groups.select(key).distinct().withColumn("__h", lcg(lcg(F.col(key), seed)))
+    g = g.withColumn("__b", F.floor(F.col("__h") / (MOD // 4096)))
+    n = g.groupBy("__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = n.select(F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)) - 1
+    return g.withColumn("__r", inner).join(F.broadcast(before), F.col("__b") == F.col("__c")).select(key, (F.col("__before") + F.col("__r")).alias("place"))
+
+
 def folds(groups: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """(key, fold): distinct groups in hash order, dealt round robin."""
-    g = groups.select(key).distinct()
-    return g.withColumn("fold", ((F.row_number().over(Window.orderBy(lcg(lcg(F.col(key), seed)), key)) - 1) % k).cast("int"))
+    return hashed_place(groups, key, seed).select(key, (F.col("place") % k).cast("int").alias("fold"))
 
 
 def balanced_folds(groups: DataFrame, key: str, k: int) -> DataFrame:

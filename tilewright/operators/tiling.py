@@ -96,7 +96,7 @@ def pooled(tiles: DataFrame, session: str, mean: str, std: str, weights: tuple[i
     return both.select(session, "t", m.alias("pooled_mean"), F.sqrt(F.greatest(second - m * m, F.lit(0.0))).alias("pooled_std"))
 
 
-def interpolated(samples: DataFrame, session: str, value: str) -> Column:
+def interpolated(samples: DataFrame, session: str | list[str], value: str) -> Column:
     """Linear interpolation of nulls inside, nearest value at the ends, 0 without any value."""
     before = Window.partitionBy(session).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(session).orderBy("idx").rowsBetween(0, Window.unboundedFollowing)

@@ -205,11 +205,14 @@ PROFILE = f"WITH {MEM}, a AS (SELECT *, max(p) OVER (PARTITION BY id) AS top, ro
 
 
 def bootstrap(spark, d):
-    """Interval of the accuracy over resampled sessions; draws are hashes that only Spark has."""
+    """Interval of the accuracy over resampled sessions."""
     x = _labelled(spark, d).select("session", (F.col("truth") == F.col("guess")).cast("double").alias("ok"))
     return metrics.bootstrap(x, "session", "ok", 200, 7).select(r6("lo").alias("lo"), r6("mid").alias("mid"), r6("hi").alias("hi"))
 
 
+BOOTSTRAP = f"WITH {LAB}, g AS (SELECT session, count(*) AS n, sum((truth = guess)::INT) AS s, row_number() OVER (ORDER BY session) - 1 AS place FROM lab GROUP BY session), z AS (SELECT count(*) AS z FROM g), i AS (SELECT unnest(range(0, 200 * (SELECT z FROM z))) AS id), p AS (SELECT id // z AS draw, floor((((((id + 55433) % 2147483648 * 1103515245 + 12345) % 2147483648) % 2147483648 * 1103515245 + 12345) % 2147483648) / 2147483648 * z) AS place FROM i, z), m AS (SELECT draw, sum(s) / sum(n) AS m FROM p JOIN g USING (place) GROUP BY draw) SELECT round(quantile_cont(m, 0.05) + 3e-8, 6) + 0.0 AS lo, round(quantile_cont(m, 0.5) + 3e-8, 6) + 0.0 AS mid, round(quantile_cont(m, 0.95) + 3e-8, 6) + 0.0 AS hi FROM m"
+
+
 def samples(spark, d):
     v = vectors(spark, d).select("id", "session", "label")
     capped = sampling.per_group(v, ["session", "label"], "id", 3)
@@ -224,10 +227,10 @@ def folds(spark, d):
     e = table(spark, d, "events").select("user_id")
     f = sampling.folds(e, "user_id", 5)
     b = sampling.balanced_folds(e, "user_id", 5).select("user_id", F.col("fold").alias("balanced"), "n")
-    return f.join(b, "user_id").select("user_id", "fold", "n")
+    return f.join(b, "user_id").select("user_id", "fold", "balanced", "n")
 
 
-FOLDS = f"WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, ((row_number() OVER (ORDER BY {_H.format('user_id')}, user_id) - 1) % 5)::INT AS fold, n FROM u"
+FOLDS = f"WITH RECURSIVE u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), o AS (SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id) AS k FROM u), s AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load, 0::BIGINT AS f UNION ALL SELECT o.k, list_transform(load, lambda x, i: x + CASE WHEN i = list_position(load, list_min(load)) THEN o.n ELSE 0 END), list_position(load, list_min(load)) - 1 FROM s JOIN o ON o.k = s.k + 1) SELECT user_id, ((row_number() OVER (ORDER BY {_H.format('user_id')}, user_id) - 1) % 5)::INT AS fold, s.f::INT AS balanced, n FROM o JOIN s USING (k)"
 
 
 def weights(spark, d):
@@ -270,7 +273,7 @@ QUERIES = {
     "metrics_rank_correlation": (rank_correlation, SPEARMAN),
     "metrics_chi_square": (chi_square, CHI),
     "metrics_class_profile": (profile, PROFILE),
-    "metrics_bootstrap": (bootstrap, None),
+    "metrics_bootstrap": (bootstrap, BOOTSTRAP),
     "sampling_caps": (samples, SAMPLED),
     "sampling_folds": (folds, FOLDS),
     "sampling_class_weights": (weights, WEIGHTS),

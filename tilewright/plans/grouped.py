@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decode, graph, matching, models, normalize, spectral
-from .common import VECTORS, probabilities, r6, tall, vectors
-from .vectors import top
+from .common import PROBS, VECTORS, probabilities, r6, tall, vectors
+from .vectors import EDGES, top
 
 
 def _match(method, **options):
@@ -77,14 +77,20 @@ NEAREST = f"WITH {VECTORS}, t AS (SELECT id % 2 AS f, label, generate_subscripts
 
 
 def covariance(spark, d):
-    """Mergeable sums of each session, as covariances of the first three dimensions."""
-    g = normalize.gram(vectors(spark, d).withColumn("v", F.slice("v", 1, 3)), "v", ["session"])
-    n = F.col("n")
-    cell = lambda i, j: (F.col("g")[3 * i + j] - F.col("s")[i] * F.col("s")[j] / n) / (n - 1)
-    return g.select("session", "n", *[r6(cell(i, j)).alias(f"c{i}{j}") for i in range(3) for j in range(i, 3)])
+    """Mergeable sums of each session, as covariances of all dimensions, a row for each pair i <= j."""
+    g = normalize.gram(vectors(spark, d), "v", ["session"])
+    size = F.size("s")
+    rows = g.select("session", "n", "s", size.alias("d"), F.posexplode("g").alias("k", "x"))
+    rows = rows.withColumns({"i": F.floor(F.col("k") / F.col("d")).cast("int"), "j": (F.col("k") % F.col("d")).cast("int")}).where("i <= j")
+    c = (F.col("x") - F.get("s", F.col("i")) * F.get("s", F.col("j")) / F.col("n")) / (F.col("n") - 1)
+    return rows.select("session", "n", "i", "j", r6(c).alias("c"))
 
 
-COVARIANCE = f"WITH {VECTORS} SELECT session, count(*) AS n, " + ", ".join(f"round(covar_samp(v[{i + 1}], v[{j + 1}]) + 3e-8, 6) + 0.0 AS c{i}{j}" for i in range(3) for j in range(i, 3)) + " FROM vec GROUP BY session"
+COVARIANCE = f"WITH {VECTORS}, x AS (SELECT session, id, generate_subscripts(v, 1) - 1 AS k, unnest(v) AS x FROM vec) SELECT a.session, count(*) AS n, a.k::INT AS i, b.k::INT AS j, round(covar_samp(a.x, b.x) + 3e-8, 6) + 0.0 AS c FROM x a JOIN x b ON a.id = b.id AND a.k <= b.k GROUP BY a.session, a.k, b.k"
+
+#: Rounds as recursion: every step reads the step before it only.
+CALIBRATED = f"WITH RECURSIVE {PROBS}, n AS (SELECT count(*) / 50 AS t FROM vec), q AS (SELECT 0 AS k, session, id, class, p FROM prob UNION ALL SELECT k + 1, session, id, class, c / sum(c) OVER (PARTITION BY id) FROM (SELECT k, session, id, class, p * t / sum(p) OVER (PARTITION BY session, class) AS c FROM q, n WHERE k < 50)) SELECT session, id, class::INT AS class, round(p + 3e-8, 6) + 0.0 AS p FROM q WHERE k = 50"
+PROPAGATED = f"WITH RECURSIVE {PROBS}, {EDGES.removeprefix(VECTORS + ', ')}, en AS MATERIALIZED (SELECT e.src, e.dst, e.w / deg.d AS w FROM sym e JOIN deg ON deg.src = e.src UNION ALL SELECT id, -1, 1.0 FROM vec), f AS (SELECT 0 AS k, id, class, p FROM prob UNION ALL SELECT k + 1, src, class, sum(CASE WHEN dst = -1 THEN 0.2 * p ELSE 0.8 * w * p END) FROM (SELECT f.k, en.src, en.dst, f.class, en.w, f.p FROM f JOIN en ON en.dst = f.id WHERE f.k < 30 UNION ALL SELECT f.k, f.id, -1, f.class, 1.0, prob.p FROM f JOIN prob ON prob.id = f.id AND prob.class = f.class WHERE f.k < 30) GROUP BY k, src, class) SELECT id, class::INT AS class, round(p + 3e-8, 6) + 0.0 AS p FROM f WHERE k = 30"
 
 
 QUERIES = {
@@ -94,11 +100,11 @@ QUERIES = {
     "match_bagged": (_match("assignment", members=3, tau=0.05), None),
     "decode_viterbi": (viterbi, None),
     "decode_sticky": (sticky, None),
-    "decode_calibrated": (calibrated, None),
+    "decode_calibrated": (calibrated, CALIBRATED),
     "graph_louvain": (_groups("louvain"), None),
     "graph_bisect": (_groups("bisect"), None),
     "graph_spectral": (_groups("spectral"), None),
-    "graph_propagation_grouped": (propagated, None),
+    "graph_propagation_grouped": (propagated, PROPAGATED),
     "normalise_whiten": (whitened, None),
     "normalise_covariance": (covariance, COVARIANCE),
     "models_regression": (regression, None),

@@ -185,10 +185,10 @@ CHANGES = f"{CHAINS}, c AS (SELECT id, chain, pos, label, CASE WHEN lag(label) O
 def twins(spark, d):
     v = vectors(spark, d)
     noisy = v.withColumn("v", F.transform("v", lambda x: x + F.lit(1e-9)))
-    return pairs.twins(v, noisy, "v").where("a_id = b_id").select("session", "a_id", "b_id")
+    return pairs.twins(v, noisy, "v").select("session", "a_id", "b_id")
 
 
-TWINS = f"WITH {VECTORS} SELECT session, id AS a_id, id AS b_id FROM vec"
+TWINS = f"WITH {VECTORS} SELECT a.session, a.id AS a_id, b.id AS b_id FROM vec a JOIN vec b ON a.session = b.session AND list_max(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i]))) < 5e-7"
 
 
 def score_bins(spark, d):
