@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tilewright import __main__ as cli
 from tilewright.functions import arrays as A
 from tilewright.functions import blocks as B
-from tilewright.operators import decode, design, linking, metrics, pairs, sampling
+from tilewright.operators import decode, design, linking, matching, metrics, models, pairs, sampling
+from tilewright.sources import files
 
 
 def test_eigenvalues_against_numpy(spark):
@@ -105,3 +106,48 @@ def test_model_is_stored_and_read_again(spark, tmp_path):
     again = LogisticRegressionModel.load(str(tmp_path / "m"))
     assert again.transform(df).select("prediction").collect() == model.transform(df).select("prediction").collect()
     assert A.mean("x") is not None
+
+
+def test_ridge_strength_by_leaving_one_out():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(25, 4)), rng.normal(size=25)
+    alphas = [0.1, 3.0, 50.0]
+    plain = []
+    for alpha in alphas:
+        errors = []
+        for i in range(25):
+            keep = np.arange(25) != i
+            a = np.column_stack([x[keep], np.ones(24)])
+            w = np.linalg.solve(a.T @ a + alpha * np.diag([1, 1, 1, 1, 0]), a.T @ y[keep])
+            errors.append((y[i] - np.append(x[i], 1) @ w) ** 2)
+        plain.append(np.mean(errors))
+    best, _, errors = models.ridge_loo(x, y, alphas)
+    assert np.allclose(errors, plain) and best == alphas[int(np.argmin(plain))]
+    precision, density = models.residual_density(x, shrink=0.0)
+    c = x.T @ x / len(x)
+    assert np.allclose(precision @ c, np.eye(4)) and np.isclose(density[0], -0.5 * (x[0] @ np.linalg.inv(c) @ x[0] + np.log(np.linalg.det(2 * np.pi * c))))
+
+
+def test_roles_of_columns(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    assert files.roles(e.select("user_id", "ts", "event_type", "value")) == {"subject": "user_id", "time": "ts", "limb": "event_type"}
+    assert files.roles(e.select(F.col("user_id").alias("a"), F.col("event_id").alias("b"), F.col("event_type").alias("c"))) == {"limb": "c", "time": "b", "subject": "a"}
+    assert files.roles(e.select(F.col("user_id").alias("sbj_id"), F.lit("x").alias("sensor_location"), F.lit(1).alias("frame"))) == {"subject": "sbj_id", "limb": "sensor_location", "time": "frame"}
+
+
+def test_links_of_shuffled_chunks_are_found(spark):
+    """Rows of a smooth walk, dealt in random order: the assignment finds each one's successor."""
+    rng = np.random.default_rng(6)
+    place = np.cumsum(rng.normal(size=(40, 6)) * 0.2 + 0.4, axis=0)
+    order = rng.permutation(40)
+    apart = ((place[:, None] + 0.4 - place[None]) ** 2).sum(2)
+    rows = [(0, int(order[i]), int(order[j]), float(-apart[i, j])) for i in range(40) for j in range(40) if i != j]
+    got = {r.src: r.dst for r in matching.match(spark.createDataFrame(rows, "session int, src long, dst long, s double")).collect()}
+    assert sum(got.get(int(order[i])) == int(order[i + 1]) for i in range(39)) >= 37
+
+
+def test_swaps_gain_what_rows_say(spark):
+    rows = [(0, i, c, p) for i, (a, b) in enumerate([(0.6, 0.4), (0.55, 0.45), (0.3, 0.7)]) for c, p in ((0, a), (1, b))]
+    got = decode.swap_gains(spark.createDataFrame(rows, "session int, id long, class int, p double")).first()
+    plain = sum(math.log(b / a) for a, b in [(0.6, 0.4), (0.55, 0.45)]) + math.log(0.3 / 0.7)
+    assert (got.a, got.b, got.n) == (0, 1, 3) and got.gain == pytest.approx(plain)

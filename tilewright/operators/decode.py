@@ -234,14 +234,17 @@ def chains(rows: DataFrame, switch: float | str, *, floor: float = 1e-6, sticky:
     return ordered.mapInPandas(run, f"id {kind}, label int, conf double")
 
 
-def icm_rounds(scores: DataFrame, edges: DataFrame, strength: float, rounds: int, settle) -> DataFrame:
+def icm_rounds(scores: DataFrame, edges: DataFrame, strength: float, rounds: int, settle, coupling: DataFrame | None = None) -> DataFrame:
     """Potts relabelling as joins: in each round one half of the rows (by a hash) takes the class of
-    greatest score plus ``strength`` times the weight of neighbours that have it. ``scores``: id, class,
-    s; ``edges``: src, dst, w; ``settle`` cuts the lineage. Returns id, class."""
+    greatest score plus ``strength`` times the weight of neighbours that have it. ``coupling`` (class,
+    to, m), a row for a pair of classes, spreads a neighbour's weight over other classes too.
+    ``scores``: id, class, s; ``edges``: src, dst, w; ``settle`` cuts the lineage. Returns id, class."""
     label = settle(best(scores, "s").select("id", "class"))
     half = (lcg(lcg(F.col("id"))) / 65536).cast("long") % 2
     for k in range(rounds):
         near = edges.join(label.select(F.col("id").alias("dst"), "class"), "dst").groupBy(F.col("src").alias("id"), "class").agg(F.sum("w").alias("w"))
+        if coupling is not None:
+            near = near.join(coupling, "class").groupBy("id", F.col("to").alias("class")).agg(F.sum(F.col("w") * F.col("m")).alias("w"))
         total = scores.join(near, ["id", "class"], "left").withColumn("s", F.col("s") + F.coalesce(F.col("w") * strength, F.lit(0.0)))
         new = best(total, "s").select("id", F.col("class").alias("new"))
         label = settle(label.join(new, "id").select("id", F.when(half == k % 2, F.col("new")).otherwise(F.col("class")).alias("class")))
@@ -305,11 +308,10 @@ def finish(df: DataFrame, targets: DataFrame, sharpen: float = 0.5, rounds: int
     return best(ipf(powered(df, 1 / sharpen), targets, rounds))
 
 
-def count_bands(df: DataFrame, bands: DataFrame, step: float, rounds: int) -> DataFrame:
-    """Labels whose counts are led into bands: in each round classes that have too few rows get ``step``
-    on all their scores, and those with too many lose it. ``df``: session, id, class, s; ``bands``:
-    session, class, lo, hi. Returns session, id, class, s, the scores with their final bias.
-    """
+def band_bias(df: DataFrame, bands: DataFrame, step: float, rounds: int) -> DataFrame:
+    """(session, class, lo, hi, bias): in each round classes that have too few rows get ``step`` on all
+    their scores, and those with too many lose it. ``df``: session, id, class, s; ``bands``: session,
+    class, lo, hi."""
     bias = bands.withColumn("bias", F.lit(0.0))
     for _ in range(rounds):
         label = best(df.join(bias, ["session", "class"]).withColumn("s", F.col("s") + F.col("bias")), "s")
@@ -317,9 +319,44 @@ def count_bands(df: DataFrame, bands: DataFrame, step: float, rounds: int) -> Da
         count = F.coalesce("n", F.lit(0))
         move = F.when(count < F.col("lo"), step).when(count > F.col("hi"), -step).otherwise(0.0)
         bias = bias.join(n, ["session", "class"], "left").select("session", "class", "lo", "hi", (F.col("bias") + move).alias("bias"))
+    return bias
+
+
+def count_bands(df: DataFrame, bands: DataFrame, step: float, rounds: int) -> DataFrame:
+    """Labels whose counts are led into bands, with their biased scores: session, id, class, s."""
+    bias = band_bias(df, bands, step, rounds)
     return best(df.join(bias, ["session", "class"]).select("session", "id", "class", (F.col("s") + F.col("bias")).alias("s")), "s")
 
 
+def swap_gains(df: DataFrame, floor: float = 1e-9) -> DataFrame:
+    """(session, a, b, gain, n): what a session's rows would gain if all rows labelled a were b and those
+    labelled b were a, in summed log-probabilities. ``df``: session, id, class, p."""
+    own = best(df).select("id", F.col("class").alias("label"))
+    e = df.join(own, "id").groupBy("session", "label", "class").agg(F.sum(F.ln(F.greatest("p", F.lit(floor)))).alias("e"), F.count("*").alias("n"))
+    home = e.where(F.col("label") == F.col("class")).select("session", "label", F.col("e").alias("h"), "n")
+    away = e.where(F.col("label") != F.col("class")).select("session", "label", F.col("class").alias("other"), "e")
+    one = away.join(home, ["session", "label"]).select("session", F.col("label").alias("a"), F.col("other").alias("b"), (F.col("e") - F.col("h")).alias("g"), "n")
+    two = one.select("session", F.col("a").alias("b"), F.col("b").alias("a"), F.col("g").alias("g2"), F.col("n").alias("n2"))
+    both = one.join(two, ["session", "a", "b"], "left").where((F.col("a") < F.col("b")) | F.col("g2").isNull())
+    return both.select("session", "a", "b", (F.col("g") + F.coalesce("g2", F.lit(0.0))).alias("gain"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
+
+
+def refined_segments(scores: DataFrame, placed: DataFrame, edges: DataFrame, strength: float) -> DataFrame:
+    """Each run of equal labels along a chain as a whole takes the class of greatest summed score plus
+    ``strength`` times the weight of neighbours outside it that have the class. ``scores``: id, class,
+    s; ``placed``: id, chain, pos, label; ``edges``: src, dst, w. Returns id, chain, run, class."""
+    w = Window.partitionBy("chain").orderBy("pos")
+    run = F.sum(F.when(F.lag("label").over(w) == F.col("label"), 0).otherwise(1)).over(w)
+    seg = placed.select("id", "chain", run.alias("run"), "label")
+    own = scores.join(seg, "id").groupBy("chain", "run", "class").agg(F.sum("s").alias("s"))
+    a = seg.select(F.col("id").alias("src"), "chain", "run")
+    b = seg.select(F.col("id").alias("dst"), F.col("chain").alias("c2"), F.col("run").alias("r2"), F.col("label").alias("class"))
+    votes = edges.join(a, "src").join(b, "dst").where("not (chain = c2 and run = r2)").groupBy("chain", "run", "class").agg(F.sum("w").alias("w"))
+    total = own.join(votes, ["chain", "run", "class"], "left").withColumn("s", F.col("s") + strength * F.coalesce("w", F.lit(0.0)))
+    r = F.row_number().over(Window.partitionBy("chain", "run").orderBy(F.desc(F.round("s", 6)), "class"))
+    return seg.select("id", "chain", "run").join(total.withColumn("r", r).where("r = 1").select("chain", "run", "class"), ["chain", "run"])
+
+
 def family_scores(df: DataFrame, family) -> DataFrame:
     """session, id, class, p, family, f: the family's log-sum-exp of log-probabilities beside each class."""
     x = df.withColumn("family", family)

@@ -83,10 +83,11 @@ def ridge(n: int, gram_xx: np.ndarray, gram_xy: np.ndarray, alpha: float) -> np.
     return np.linalg.solve(gram_xx + np.diag(penalty), gram_xy)
 
 
-def whiten(df: DataFrame, session: str, key: str, vector: str, shrink: float = 0.1, power: float = 0.5) -> DataFrame:
+def whiten(df: DataFrame, session: str, key: str, vector: str, shrink: float = 0.1, power: float = 0.5, fit: DataFrame | None = None) -> DataFrame:
     """(session, key, w): centred vectors times (shrunk covariance) ** -power of their own session.
-    The covariance comes from mergeable sums; only d x d numbers per session meet the vectors again."""
-    sums = gram(df, vector, [session])
+    The covariance comes from mergeable sums, of ``fit``'s rows where given; only d x d numbers per
+    session meet the vectors again."""
+    sums = gram(df if fit is None else fit, vector, [session])
 
     def transform(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -111,12 +112,12 @@ def whiten(df: DataFrame, session: str, key: str, vector: str, shrink: float = 0
 
     # a session is dealt into groups of bounded size; each gets the matrix once
     models = settle(models)
-    groups = sums.select(session, F.ceil(F.col("n") / GROUP).cast("int").alias("__g"))
+    groups = df.groupBy(session).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("__g"))
     sizes = F.broadcast(groups) if models.count() <= SENT else groups
-    dealt = df.select(session, key, vector).join(sizes, session).withColumn("__s", F.pmod(F.xxhash64(key), F.col("__g")).cast("int"))
-    models = models.join(groups, session)
-    each = models.withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__g") - 1)))
-    return dealt.groupBy(session, "__s").cogroup(each.groupBy(session, "__s")).applyInPandas(apply, f"{session} {kind}, {key} long, w array<double>")
+    dealt = df.select(session, key, vector).join(sizes, session).select(session, key, vector, F.pmod(F.xxhash64(key), F.col("__g")).cast("int").alias("__s"))
+    again = groups.select(session, F.explode(F.sequence(F.lit(0), F.col("__g") - 1)).alias("__s"))
+    each = models.join(again, session).select(F.col(session).alias("__session"), F.col("__s").alias("__t"), "mean", "w")
+    return dealt.groupBy(session, "__s").cogroup(each.groupBy("__session", "__t")).applyInPandas(apply, f"{session} {kind}, {key} long, w array<double>")
 
 
 def pca(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tiles", "vectors", "classes", "relational", "grouped", "refine", "decoding", "linking", "blocks", "design", "labels")
+MODULES = ("tiles", "vectors", "classes", "relational", "grouped", "refine", "decoding", "linking", "blocks", "design", "labels", "more")
 
 
 def registered() -> dict:

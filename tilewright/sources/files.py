@@ -134,3 +134,28 @@ def checked(df: DataFrame, key: list[str], rules: dict[str, str]) -> DataFrame:
     """One row: row count, repeated keys, and rows against each SQL rule."""
     n = df.groupBy(*key).agg(F.count("*").alias("k"), *[F.sum((~F.coalesce(F.expr(rule), F.lit(False))).cast("long")).alias(name) for name, rule in rules.items()])
     return n.agg(F.sum("k").alias("rows"), F.sum(F.col("k") - 1).alias("repeated"), *[F.sum(name).alias(name) for name in rules])
+
+
+def roles(df: DataFrame, most_limbs: int = 8) -> dict[str, str]:
+    """Which columns name the subject, the limb and the time, by name first and then by how many values
+    they have: one row of counts reaches the driver."""
+    names = {"subject": ("sbj", "subject", "user", "participant"), "limb": ("limb", "sensor", "location"), "time": ("ts", "time", "idx", "frame")}
+    found: dict[str, str] = {}
+    for role, words in names.items():
+        hit = [c for c in df.columns if any(w in c.lower().split("_") for w in words)]
+        if hit:
+            found[role] = hit[0]
+    left = [c for c, kind in df.dtypes if c not in found.values() and kind in ("int", "bigint", "string", "timestamp_ntz", "timestamp")]
+    if left and len(found) < 3:
+        n = df.agg(F.count("*").alias("__rows"), *[F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in left]).first()
+        order = sorted(left, key=lambda c: (n[c], c))
+        if "limb" not in found:
+            few = [c for c in order if 1 < n[c] <= most_limbs]
+            found |= {"limb": few[0]} if few else {}
+        if "time" not in found:
+            many = [c for c in reversed(order) if c not in found.values()]
+            found |= {"time": many[0]} if many else {}
+        if "subject" not in found:
+            some = [c for c in order if c not in found.values() and n[c] > 1]
+            found |= {"subject": some[0]} if some else {}
+    return found
