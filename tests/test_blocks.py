@@ -141,7 +141,7 @@ def test_links_of_shuffled_chunks_are_found(spark):
     place = np.cumsum(rng.normal(size=(40, 6)) * 0.2 + 0.4, axis=0)
     order = rng.permutation(40)
     apart = ((place[:, None] + 0.4 - place[None]) ** 2).sum(2)
-    rows = [(0, int(order[i]), int(order[j]), float(-apart[i, j])) for i in range(40) for j in range(40) if i != j]
+    rows = [(0, int(order[i]), int(order[j]), float(max(-apart[i, j], -3.0))) for i in range(40) for j in range(40) if i != j]
     got = {r.src: r.dst for r in matching.match(spark.createDataFrame(rows, "session int, src long, dst long, s double")).collect()}
     assert sum(got.get(int(order[i])) == int(order[i + 1]) for i in range(39)) >= 37
 
