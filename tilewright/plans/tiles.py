@@ -213,12 +213,17 @@ _MD = _quant(0.5)
 
 
 def peak_stats(spark, d):
-    """Peaks, their heights and prominences; checked against a plain version in the tests."""
+    """Peaks, their heights and prominences."""
     t = tile_arrays(spark, d).select(*KEYS, "x", A.peaks(X).alias("at"), A.prominences(X).alias("prom"))
     height = F.transform("at", lambda i: F.get(X, i))
     return rounded(t, *KEYS, n=F.size("at"), height=F.when(F.size("at") > 0, A.mean(height)), interval=F.when(F.size("at") > 1, A.mean(A.diff(F.transform("at", lambda i: i.cast("double"))))), prominence=F.when(F.size("prom") > 0, F.array_max("prom")))
 
 
+#: A side of a peak counts up to the first value above it.
+_SIDE = "list_min(({side})[1 : coalesce(list_position(list_transform({side}, lambda u: u > x[i]), true), 9) - 1])"
+_LEFT, _RIGHT = "list_reverse(list_slice(x, 1, i - 1))", "list_slice(x, i + 1, 8)"
+PEAKS = f"WITH {ARRAYS}, p AS (SELECT *, list_filter(range(2, 8), lambda i: x[i] > x[i - 1] AND x[i] >= x[i + 1]) AS pk FROM arr), q AS (SELECT *, list_transform(pk, lambda i: x[i] - greatest(least(x[i], coalesce({_SIDE.format(side=_LEFT)}, x[i])), least(x[i], coalesce({_SIDE.format(side=_RIGHT)}, x[i])))) AS prom FROM p) SELECT user_id, t, {R('len(pk)', 'n')}, {R('list_avg(list_transform(pk, lambda i: x[i]))', 'height')}, {R('CASE WHEN len(pk) > 1 THEN (pk[len(pk)] - pk[1]) / (len(pk) - 1) END', '\"interval\"')}, {R('list_max(prom)', 'prominence')} FROM q"
+
 _V1 = "list_transform(range(1, 8), lambda i: x[i + 1] - x[i])"
 _V2 = "list_transform(range(1, 7), lambda i: x[i + 2] - 2 * x[i + 1] + x[i])"
 _CH = f"len(list_filter(range(1, 7), lambda i: ({_V1})[i] * ({_V1})[i + 1] < 0))"
@@ -274,5 +279,5 @@ QUERIES = {
     ),
     "features_two_channels": (correlations, CORRELATIONS),
     "features_smoothing": (smoothing, SMOOTHING),
-    "features_peaks": (peak_stats, None),
+    "features_peaks": (peak_stats, PEAKS),
 }
