@@ -5,7 +5,7 @@ window). The text is read as a sequence of words. A shift table over blocks of t
 far the search may jump; where a block ends some pattern (shift 0) its bucket lists the patterns to
 compare, chosen by their first block and then held against the bytes themselves.
 
-The tables are arrays, about nine bytes for each byte of benchmark text, made once and sent to all
+The tables are arrays, about twelve bytes for each byte of benchmark text, made once and sent to all
 tasks. A benchmark of more than ``PART_BYTES`` takes several passes, one table at a time; the rows are
 then numbered first, so results are the same.
 
@@ -28,7 +28,7 @@ from .shared import keep_rows, long, per_text, stored
 
 _PAIR = U64(0x9FB21C651E98DF25)
 #: Bytes of benchmark text searched for in one pass; a larger benchmark takes several passes.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 
 
 def _paired(hashes: np.ndarray) -> np.ndarray:
