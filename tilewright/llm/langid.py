@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytesbuf import U64, mix
 from .shared import keep_rows, per_text, string, text_slices
 
 CLASSES = 64
@@ -102,7 +101,7 @@ def _alphabet(docs: DataFrame, text: str) -> np.ndarray:
 
     counts = docs.select(text).mapInArrow(run, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "letter").limit(CLASSES - 1).collect()
-    alphabet = (mix(np.arange(_POINTS, dtype=U64)) % U64(CLASSES - 1)).astype(np.uint8) + np.uint8(1)
+    alphabet = ((np.arange(_POINTS, dtype=np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(CLASSES - 1) + np.uint32(1)).astype(np.uint8)
     alphabet[0] = 0
     for k, r in enumerate(top, 1):
         alphabet[r.letter] = k
@@ -223,7 +222,9 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     rows = []
     for a, b in zip(heads, [*heads[1:], len(key)], strict=True):
         x = n[a:b].astype(float)
-        rows.append((code[a:b], x / x[code[a:b] < GRAMS].sum() * idf[code[a:b]] * SCALE))
+        rows.append((code[a:b].astype(np.int32), x / x[code[a:b] < GRAMS].sum() * idf[code[a:b]] * SCALE))
+    del summed, picked, named, key, code, n, of_doc, name
+    pa.default_memory_pool().release_unused()  # the driver goes on to other work
     held = np.array([k % 5 == 4 for k in range(len(rows))]) & (len(rows) >= 5 * len(langs))
     fitted = [k for k in range(len(rows)) if not held[k]]
     w, b = ftrl([rows[k] for k in fitted], labels[fitted], len(langs), SIZE, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
