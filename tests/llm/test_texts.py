@@ -105,6 +105,31 @@ def test_repeats_in_periodic_texts(spark):
     assert sorted(map(tuple, sufdedup.dropped(df, group=0).collect())) == expected
 
 
+def test_repeats_where_an_anchor_recurs_nearby(spark):
+    """Runs and short periods of little over an anchor's piece: the same anchor comes again within a string."""
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x21, 0x7F)]
+    noise, texts = lambda n: "".join(rng.choices(letters, k=n)), []
+    for k in range(40):
+        unit, tail = noise(k % 4 + 1), noise(80)
+        texts.append(noise(90) + (unit * 160)[: rng.randint(101 + len(unit), 150)] + noise(90))  # repeats itself
+        unit = noise(k % 4 + 1)  # what is equal begins inside the run
+        texts += [noise(90) + (unit * 60)[-n:] + tail for n in (60, 45)]
+    seen, expected = set(), []
+    for doc, text in enumerate(texts):
+        raw = text.encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(raw[s : s + 100])
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        expected.append((doc, len(raw), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, sufdedup.dropped(df).collect())) == expected
+    assert sorted(map(tuple, sufdedup.dropped(df, group=0).collect())) == expected
+
+
 def test_long_runs_stay_small():
     """What a text of one character sends is few times its size."""
     data = np.full(8_000_000, 45, np.uint8)

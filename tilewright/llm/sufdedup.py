@@ -18,7 +18,7 @@ frequent that their group would not fit a task (an estimate from a sample decide
 way, not the result) are compared by 128-bit hashes of each string in a distributed aggregation.
 
 Periodic texts have one anchor at every period. Equal anchors in a row share a context of up to ``RUN``
-starts, and a context that repeats an earlier one of its document goes without its bytes. So the bytes
+starts, which has starts beyond its first anchor's place and so may hold repeats on its own, and a context that repeats an earlier one of its document goes without its bytes. So the bytes
 sent are few times the text's, whatever the text.
 
 Edge cases: null text is empty; texts under 100 bytes stay whole; very long ones of few characters, see above; documents are ordered by doc_id,
@@ -56,7 +56,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """doc, anchor's hash, its place in the document, first and last start it stands for.
 
     Where an anchor is followed by the same one, as in periodic text, up to ``RUN`` starts are one entry
-    with the place of the first.
+    with the place of the first. Only such an entry has starts beyond its place.
     """
     n = len(data)
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
@@ -167,7 +167,7 @@ def repeats(h: np.ndarray, rank: np.ndarray, start: np.ndarray, left: np.ndarray
     out = [(copies, start[copies], start[copies] + span[copies] + LEAST)]
     _, inverse, n = np.unique(h[u], return_inverse=True, return_counts=True)
     run = np.zeros(len(n), bool)  # a context of several anchors may repeat itself, or any place of it
-    run[inverse[span[u] >= WINDOW]] = True
+    run[inverse[span[u] > left[u]]] = True
     some = (n[inverse] > 1) | run[inverse]
     u, run = u[some], run[inverse][some]
     if len(u):
@@ -316,7 +316,7 @@ def _compared(contexts: DataFrame) -> DataFrame:
         t = t.filter(pc.invert(copy)).combine_chunks()
         h = t["h"].to_numpy()
         same = h[1:] == h[:-1]
-        t = t.filter(pa.array((np.concatenate([same, [False]]) | np.concatenate([[False], same]))[: len(h)] | (t["span"].to_numpy() >= WINDOW))).combine_chunks()
+        t = t.filter(pa.array((np.concatenate([same, [False]]) | np.concatenate([[False], same]))[: len(h)] | (t["span"].to_numpy() > t["left"].to_numpy()))).combine_chunks()
         if not len(t):
             return
         ids = pc.fill_null(t["doc_id"], np.iinfo(np.int64).min).to_numpy()
@@ -402,7 +402,8 @@ def dropped(docs: DataFrame, *, key: str = "doc_id", text: str = "text", group:
     crowd = F.lit(False) if hot is None else F.coalesce("crowd", F.lit(False))
     again = marks if hot is None else marks.join(hot.withColumn("crowd", F.lit(True)), "h", "left")
     again = again.withColumn("crowd", crowd).withColumn("salt", F.when(F.col("crowd"), F.pmod(F.xxhash64("r"), F.lit(256))).otherwise(0))
-    again = again.withColumn("n", F.count("*").over(Window.partitionBy("h", "salt"))).where(F.col("crowd") | (F.col("n") > 1) | (F.col("place").bitwiseAND((1 << 18) - 1) >= WINDOW)).select("h", "r", "place")
+    several = F.col("place").bitwiseAND((1 << 18) - 1) > F.shiftright("place", 18).bitwiseAND(WINDOW - 1)
+    again = again.withColumn("n", F.count("*").over(Window.partitionBy("h", "salt"))).where(F.col("crowd") | (F.col("n") > 1) | several).select("h", "r", "place")
     listed = again.groupBy("r").agg(F.collect_list(F.struct("h", "place")).alias("marks"))
     contexts = _contexts(source.join(listed, "r").select("r", "doc_id", "text", "marks"))
     if hot is None:
