@@ -20,6 +20,14 @@ def tumbling(samples: DataFrame, session: str, size: int) -> DataFrame:
     return samples.withColumns({"t": F.floor(F.col("idx") / size), "pos": F.col("idx") % size, "__n": n}).where(F.col("t") < F.floor(F.col("__n") / size)).drop("__n")
 
 
+def means(tiles: DataFrame, keys: list[str], value: str, size: int) -> DataFrame:
+    """Mean ``m`` of each tile, added up by ``pos``: its last digits, by which near ties are ranked, depend on
+    neither partitioning nor the way of aggregation. Nulls don't count."""
+    held = [F.max(F.when(F.col("pos") == k, F.col(value))).alias(f"__{k}") for k in range(size)]
+    total = sum((F.coalesce(f"__{k}", F.lit(0.0)) for k in range(1, size)), F.coalesce("__0", F.lit(0.0)))
+    return tiles.groupBy(*keys).agg(F.count(value).alias("__n"), *held).select(*keys, F.when(F.col("__n") > 0, total / F.col("__n")).alias("m"))
+
+
 def arrays(tiles: DataFrame, keys: list[str], **columns: str) -> DataFrame:
     """One row per tile with each column as an array ordered by ``pos``."""
     listed = F.array_sort(F.collect_list(F.struct("pos", *columns.values())))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import normalize, tiling
-from .common import ARRAYS, SAMPLES, TILED, r6, rounded, samples, table, tile_arrays, tiled
+from .common import ARRAYS, SAMPLES, SIZE, TILED, r6, rounded, samples, table, tile_arrays, tiled
 
 KEYS = ("user_id", "t")
 X = "x"  # a name, so that importing needs no session
@@ -128,7 +128,7 @@ WINDOWS = "SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS
 
 
 def z_scores(spark, d):
-    f = tiled(spark, d).groupBy("user_id", "t").agg(F.avg("value").alias("m"))
+    f = tiling.means(tiled(spark, d), ["user_id", "t"], "value", SIZE)
     f = f.withColumn("z", normalize.z_score(F.col("m"), ["user_id"], 1e-3)).withColumn("centred", normalize.centre(F.col("m"), ["user_id"]))
     robust = normalize.robust(f, "m", ["user_id"], 1e-3)
     q = robust.withColumns({"rank": normalize.percent_place("m", ["user_id"], "t"), "decile": F.ntile(10).over(Window.partitionBy("user_id").orderBy("m", "t"))})
