@@ -46,7 +46,7 @@ def test_runs_without_oracle(spark, sf, name):
     assert df.columns and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["normalise_grouped"])
+@pytest.mark.parametrize("name", ["normalise_grouped", "normalise_quantile_map"])
 def test_near_ties_of_tile_means(spark, tmp_path, monkeypatch, name):
     """Tiles of the same values in another order, against one thread of the oracle, which adds in order of
     ``pos``. Rows may come to the mean in any order, as from aggregates that had to spill."""
