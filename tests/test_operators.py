@@ -206,3 +206,44 @@ def test_components_settle_or_fail(spark):
     assert {r.id: r.root for r in graph.components(edges, nodes).collect()} == expected
     with pytest.raises(ValueError):
         graph.components(edges, nodes, rounds=2)
+
+
+def test_communities_of_a_sparse_graph(spark, monkeypatch):
+    """Edge lists against a plain dense version, and sessions beyond what a dense matrix is kept to."""
+
+    def plain(w, rounds=20):
+        place = np.arange(len(w))
+        while True:
+            n, total, degree, label, moved = len(w), w.sum(), w.sum(1), np.arange(len(w)), False
+            for _ in range(rounds):
+                changed = False
+                for i in range(n):
+                    own, others = label[i], np.arange(n) != i
+                    links = np.bincount(label[others], w[i][others], n)
+                    gain = links - np.bincount(label[others], degree[others], n) * degree[i] / max(total, 1e-12)
+                    best = int(gain.argmax())
+                    label[i] = own if gain[best] <= gain[own] + 1e-12 else best
+                    changed |= label[i] != own
+                moved |= changed
+                if not changed:
+                    break
+            _, label = np.unique(label, return_inverse=True)
+            place = label[place]
+            if not moved or label.max() + 1 == n:
+                return place
+            fold = np.eye(label.max() + 1)[label]
+            w = fold.T @ w @ fold
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 12, 60, 90):
+        a, b, x = rng.integers(0, n, 4 * n), rng.integers(0, n, 4 * n), rng.random(4 * n)
+        w = np.zeros((n, n))
+        np.maximum.at(w, (a, b), x)
+        w = np.maximum(w, w.T)
+        np.fill_diagonal(w, 0)
+        assert spectral.communities(*spectral.entries(a, b, x), n).tolist() == plain(w).tolist() == spectral.louvain(w).tolist()
+    monkeypatch.setattr(spectral, "LARGEST", 50)
+    edges = spark.createDataFrame(pd.DataFrame({"session": 0, "src": a, "dst": b, "w": x}))
+    got = {r.id: r.group for r in spectral.groups(edges, "louvain").collect()}
+    ids = np.unique(np.concatenate([a, b]))
+    assert list(got) and [got[i] for i in ids.tolist()] == plain(w[np.ix_(ids, ids)]).tolist()

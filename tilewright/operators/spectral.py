@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,34 +13,66 @@ LARGEST = 6000  # nodes of a dense session
 
 def louvain(w: np.ndarray, rounds: int = 20) -> np.ndarray:
     """Communities of a symmetric weight matrix by greedy modularity moves and contraction."""
-    place = np.arange(len(w))
+    a, b = np.nonzero(w)
+    return communities(a, b, w[a, b], len(w), rounds)
+
+
+def communities(a: np.ndarray, b: np.ndarray, x: np.ndarray, n: int, rounds: int = 20) -> np.ndarray:
+    """The same from the matrix's entries (a, b, x), both directions of each: memory grows with the edges."""
+    place = np.arange(n)
     while True:
-        n, total = len(w), w.sum()
-        degree, label = w.sum(1), np.arange(n)
-        mass, moved = degree.copy(), False
+        order = np.lexsort((b, a))
+        a, b, x = a[order], b[order], x[order]
+        at = np.searchsorted(a, np.arange(n + 1)).tolist()
+        total, degree = max(float(x.sum()), 1e-12), np.bincount(a, x, n).tolist()
+        label, mass, members, empty, moved = list(range(n)), list(degree), [1] * n, [], False
         for _ in range(rounds):
             changed = False
             for i in range(n):
-                own = label[i]
-                mass[own] -= degree[i]
-                links = np.bincount(label, w[i], n)
-                links[own] -= w[i, i]
-                gain = links - mass * degree[i] / max(total, 1e-12)
-                best = int(gain.argmax())
-                if gain[best] <= gain[own] + 1e-12:
+                own, share = label[i], degree[i] / total
+                members[own] -= 1
+                mass[own] = mass[own] - degree[i] if members[own] else 0.0
+                links = {own: 0.0}
+                for j, weight in zip(b[at[i] : at[i + 1]].tolist(), x[at[i] : at[i + 1]].tolist(), strict=True):
+                    if j != i:
+                        links[label[j]] = links.get(label[j], 0.0) + weight
+                stay = links[own] - mass[own] * share
+                gain, best = max((weight - mass[c] * share, -c) for c, weight in links.items())
+                best = -best
+                if gain < 0:  # on its own it loses nothing
+                    while empty and members[empty[0]]:
+                        heapq.heappop(empty)
+                    if empty:
+                        gain, best = 0.0, empty[0]
+                if gain <= stay + 1e-12:
                     best = own
+                elif not members[own]:
+                    heapq.heappush(empty, own)
                 label[i] = best
+                members[best] += 1
                 mass[best] += degree[i]
                 changed |= best != own
             moved |= changed
             if not changed:
                 break
         _, label = np.unique(label, return_inverse=True)
-        place = label[place]
-        if not moved or label.max() + 1 == n:
+        place, k = label[place], int(label.max()) + 1 if n else 0
+        if not moved or k == n:
             return place
-        fold = np.eye(label.max() + 1)[label]
-        w = fold.T @ w @ fold
+        pair, where = np.unique(label[a] * k + label[b], return_inverse=True)
+        a, b, x, n = pair // k, pair % k, np.bincount(where, x), k
+
+
+def entries(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both directions of every edge between two nodes, the greatest weight of the pair; none of 0 or less."""
+    some = (a != b) & (w > 0)
+    lo, hi, w = np.minimum(a, b)[some], np.maximum(a, b)[some], w[some]
+    order = np.lexsort((hi, lo))
+    lo, hi, w = lo[order], hi[order], w[order]
+    head = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(lo) else np.zeros(0, int)
+    w = np.maximum.reduceat(w, head) if len(head) else w
+    lo, hi = lo[head], hi[head]
+    return np.concatenate([lo, hi]), np.concatenate([hi, lo]), np.concatenate([w, w])
 
 
 def fiedler(w: np.ndarray) -> np.ndarray:
@@ -76,22 +110,23 @@ def groups(edges: DataFrame, method: str, k: int = 2) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
-        if len(ids) > LARGEST:
-            raise ValueError(f"{len(ids)} nodes in one session; at most {LARGEST} fit")
-        w = np.zeros((len(ids), len(ids)))
         a, b = np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])
-        np.maximum.at(w, (a, b), pdf["w"])
-        w = np.maximum(w, w.T)
-        np.fill_diagonal(w, 0)
         place = np.zeros(len(ids))
         if method == "louvain":
-            group = louvain(w)
-        elif method == "spectral":
-            group = spectral(w, k)
+            group = communities(*entries(a, b, pdf["w"].to_numpy()), len(ids))
         else:
-            place = fiedler(w)
-            group = (place > 0).astype(int)
-            place = np.argsort(np.argsort(place, kind="stable"), kind="stable").astype(float)
+            if len(ids) > LARGEST:
+                raise ValueError(f"{len(ids)} nodes in one session; at most {LARGEST} fit")
+            w = np.zeros((len(ids), len(ids)))
+            np.maximum.at(w, (a, b), pdf["w"])
+            w = np.maximum(w, w.T)
+            np.fill_diagonal(w, 0)
+            if method == "spectral":
+                group = spectral(w, k)
+            else:
+                place = fiedler(w)
+                group = (place > 0).astype(int)
+                place = np.argsort(np.argsort(place, kind="stable"), kind="stable").astype(float)
         return pd.DataFrame({"session": pdf["session"].iloc[0], "id": ids, "group": group.astype("int32"), "place": place})
 
     kind = dict(edges.dtypes)["session"]
