@@ -267,3 +267,12 @@ def test_assignment_of_a_sparse_session():
     b = (a + np.tile([1, 2], n)) % n
     found = matching.sparse_assignment(a, b, np.tile([100.0, 99.0], n), n)
     assert (found == (np.arange(n) + 1) % n).all()
+
+
+def test_members_of_a_large_session(spark):
+    """Members of a bagged assignment over 20,000 nodes in a ring; a dense matrix of each would take 3 GB."""
+    n = 20_000
+    ring = spark.range(n).select(F.lit(0).alias("session"), F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), (F.col("id") / n).alias("s"))
+    got = matching.match(ring, members=2, tau=1e-9).groupBy("member").agg(F.count("*").alias("k"), F.min("src").alias("first")).collect()
+    # the weakest link of the cycle is cut
+    assert sorted(map(tuple, got)) == [(0, n - 1, 1), (1, n - 1, 1)]
