@@ -297,3 +297,28 @@ def test_auction_of_a_sparse_session(spark, monkeypatch):
     ring = spark.range(n).select(F.lit(0).alias("session"), F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), (F.col("id") / n).alias("s"))
     got = {r.src: r.dst for r in matching.match(ring, method="auction").collect()}
     assert got == {i: (i + 1) % n for i in range(1, n)}  # the weakest link of the cycle is cut
+
+
+def _random_session(n, seed):
+    rng = np.random.default_rng(seed)
+    a, b, x = rng.integers(0, n, 4 * n), rng.integers(0, n, 4 * n), rng.random(4 * n)
+    a, b, x = np.concatenate([a, np.arange(n)]), np.concatenate([b, (np.arange(n) + 1) % n]), np.concatenate([x, np.ones(n)])
+    w = np.zeros((n, n))
+    np.maximum.at(w, (a, b), x)
+    w = np.maximum(w, w.T)
+    np.fill_diagonal(w, 0)
+    return a, b, x, w
+
+
+def test_bisect_of_a_large_session(spark, monkeypatch):
+    """A session beyond the dense bound has the same sides and places; of two components, the larger is split off."""
+    a, b, x, w = _random_session(300, 9)
+    edges = spark.createDataFrame(pd.DataFrame({"session": 0, "src": a, "dst": b, "w": x}))
+    expected = {r.id: (r.group, r.place) for r in spectral.groups(edges, "bisect").collect()}
+    monkeypatch.setattr(spectral, "LARGEST", 100)
+    assert {r.id: (r.group, r.place) for r in spectral.groups(edges, "bisect").collect()} == expected
+    assert np.allclose(spectral.sparse_fiedler(*spectral.entries(a, b, x), 300), spectral.fiedler(w), atol=1e-9)
+    two = np.concatenate([np.arange(100, 129), np.arange(130, 199), np.arange(101, 130), np.arange(131, 200)]).reshape(2, -1)
+    split = spark.createDataFrame(pd.DataFrame({"session": 0, "src": two[0], "dst": two[1], "w": 1.0}))
+    monkeypatch.setattr(spectral, "LARGEST", 50)
+    assert {(r.id < 130, r.group) for r in spectral.groups(split, "bisect").collect()} == {(True, 1), (False, 0)}

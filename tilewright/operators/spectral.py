@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-LARGEST = 6000  # nodes of a dense session
+LARGEST = 2000  # nodes of a session that is solved as a dense matrix
 
 
 def louvain(w: np.ndarray, rounds: int = 20) -> np.ndarray:
@@ -83,6 +83,81 @@ def fiedler(w: np.ndarray) -> np.ndarray:
     return x * np.sign(x[np.abs(x).argmax()])
 
 
+def parts(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Least node of each node's connected component, from both directions of the edges."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, root[a], root[b])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def leading(a: np.ndarray, b: np.ndarray, x: np.ndarray, n: int, k: int, known: np.ndarray, keep: int = 24, most: int = 72, rounds: int = 5000) -> np.ndarray:
+    """The k greatest eigenvectors, beside the ``known`` ones, of the symmetric matrix with entries (a, b, x): block
+    Lanczos with restarts from the best ``keep`` vectors. It holds 2 * ``most`` vectors and the entries."""
+
+    def times(v):
+        return np.stack([np.bincount(a, x * c[b], n) for c in v.T], 1)
+
+    def fresh(v, basis):  # what is new in v, orthonormal
+        for _ in range(2):
+            for q in (known, basis):
+                v = v - q @ (q.T @ v)
+            v = np.linalg.qr(v)[0]
+        return v
+
+    width = k + 2
+    basis = image = np.zeros((n, 0))
+    block = fresh(np.random.default_rng(0).normal(size=(n, width)), basis)
+    for _ in range(rounds):
+        while True:
+            basis, image = np.hstack([basis, block]), np.hstack([image, times(block)])
+            if basis.shape[1] + width > most:
+                break
+            block = fresh(image[:, -width:], basis)
+        h = basis.T @ image
+        value, y = np.linalg.eigh((h + h.T) / 2)
+        value, y = value[::-1][:keep], y[:, ::-1][:, :keep]
+        basis, image = basis @ y, image @ y
+        off = image - basis * value
+        off -= known @ (known.T @ off)
+        if np.linalg.norm(off[:, :k], axis=0).max(initial=0.0) < 1e-11:
+            return basis[:, :k]
+        block = fresh(off[:, :width], basis)
+    raise ValueError("eigenvectors did not settle")
+
+
+def embedded(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least eigenvectors of the normalised Laplacian from both directions of the edges, the square roots of
+    the degrees, and each node's component. A component has an eigenvector of 0 of its own: the largest come first."""
+    d = np.sqrt(np.maximum(np.bincount(a, w, n), 1e-12))
+    root = parts(a, b, n)
+    linked = np.bincount(a, minlength=n) > 0
+    tops, size = np.unique(root[linked], return_counts=True)
+    tops = tops[np.lexsort((tops, -size))]
+    zero = np.zeros((n, min(k, len(tops))))
+    for j, top in enumerate(tops[:k]):
+        zero[:, j] = np.where(root == top, d, 0.0)
+    zero /= np.linalg.norm(zero, axis=0)
+    if len(tops) >= k:
+        return zero, d, root
+    return np.hstack([zero, leading(a, b, w / (d[a] * d[b]), n, k - len(tops), zero)]), d, root
+
+
+def sparse_fiedler(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """``fiedler`` from edges. Of several components, the largest is split from the rest."""
+    v, d, root = embedded(a, b, w, n, 2)
+    x = v[:, 1] / d
+    if v[:, 1].min() >= 0:  # an eigenvector of 0, turned to be orthogonal to that of the whole
+        largest, mass = root == root[v[:, 0].argmax()], d**2
+        x = np.where(largest, mass[~largest].sum(), -mass[largest].sum()) / mass.sum()
+    return x * np.sign(x[np.abs(x).argmax()])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
     """Farthest-first start, then Lloyd's rounds."""
     centres = [x[0]]
@@ -101,7 +176,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
 def spectral(w: np.ndarray, k: int) -> np.ndarray:
     d = 1 / np.sqrt(np.maximum(w.sum(1), 1e-12))
     _, v = np.linalg.eigh(np.eye(len(w)) - d[:, None] * w * d)
-    x = v[:, :k]
+    return clustered(v[:, :k], k)
+
+
+def clustered(x: np.ndarray, k: int) -> np.ndarray:
     return kmeans(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), k)
 
 
@@ -115,16 +193,15 @@ def groups(edges: DataFrame, method: str, k: int = 2) -> DataFrame:
         if method == "louvain":
             group = communities(*entries(a, b, pdf["w"].to_numpy()), len(ids))
         else:
-            if len(ids) > LARGEST:
-                raise ValueError(f"{len(ids)} nodes in one session; at most {LARGEST} fit")
-            w = np.zeros((len(ids), len(ids)))
-            np.maximum.at(w, (a, b), pdf["w"])
-            w = np.maximum(w, w.T)
-            np.fill_diagonal(w, 0)
+            n, dense = len(ids), len(ids) <= LARGEST
+            a, b, w = entries(a, b, pdf["w"].to_numpy())
+            if dense:
+                whole = np.zeros((n, n))
+                whole[a, b] = w
             if method == "spectral":
-                group = spectral(w, k)
+                group = spectral(whole, k) if dense else clustered(embedded(a, b, w, n, k)[0], k)
             else:
-                place = fiedler(w)
+                place = fiedler(whole) if dense else sparse_fiedler(a, b, w, n)
                 group = (place > 0).astype(int)
                 place = np.argsort(np.argsort(place, kind="stable"), kind="stable").astype(float)
         return pd.DataFrame({"session": pdf["session"].iloc[0], "id": ids, "group": group.astype("int32"), "place": place})
