@@ -322,3 +322,17 @@ def test_bisect_of_a_large_session(spark, monkeypatch):
     split = spark.createDataFrame(pd.DataFrame({"session": 0, "src": two[0], "dst": two[1], "w": 1.0}))
     monkeypatch.setattr(spectral, "LARGEST", 50)
     assert {(r.id < 130, r.group) for r in spectral.groups(split, "bisect").collect()} == {(True, 1), (False, 0)}
+
+
+def test_spectral_groups_of_a_large_session(spark, monkeypatch):
+    a, b, x, w = _random_session(300, 10)
+    edges = spark.createDataFrame(pd.DataFrame({"session": 0, "src": a, "dst": b, "w": x}))
+    expected = {r.id: r.group for r in spectral.groups(edges, "spectral", 4).collect()}
+    assert len(set(expected.values())) == 4
+    monkeypatch.setattr(spectral, "LARGEST", 100)
+    assert {r.id: r.group for r in spectral.groups(edges, "spectral", 4).collect()} == expected
+    for pieces in (2, 3, 5):  # as many components as groups, fewer and more
+        ids = np.arange(120 * pieces)
+        ring = pd.DataFrame({"session": 0, "src": ids, "dst": ids // 120 * 120 + (ids + 1) % 120, "w": 1.0})
+        got = {(r.id // 120, r.group) for r in spectral.groups(spark.createDataFrame(ring), "spectral", 3).collect()}
+        assert len({g for _, g in got}) == 3 and (pieces < 3 or len(got) == pieces)
