@@ -1,9 +1,11 @@
 """Text operators against plain versions, on small tables that hold the awkward cases."""
 
+import glob
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -176,6 +178,22 @@ def test_leftover_buckets_are_compared_in_blocks(docs):
         assert {k: roots.get(k, k) for k in expected} == expected
 
 
+def test_near_duplicates_give_shuffle_files_back(docs, spark):
+    """The rounds' shuffle files go as they end, and the session's setting is as before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, ended = spark.conf.get(name), set()
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    old = held()
+    roots = minhash.classes(docs)
+    for _ in range(20):
+        if not (ended := held() - old):
+            break
+        time.sleep(0.2)
+    assert len(ended) < 10 and spark.conf.get(name) == before
+    assert roots.count() == roots.distinct().count() > 0
+
+
 def test_buckets_of_forms_without_links_end(spark, monkeypatch):
     rng = random.Random(3)
     shared = prose(rng, 160)  # similarity near 0.65, so all fall in common buckets and none are linked

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesbuf import U64, mix, ragged, words
-from .shared import cut, long, per_text
+from .shared import cut, long, per_text, swept
 
 M, BANDS = 128, 32
 ROWS = M // BANDS
@@ -266,6 +266,12 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
     bucket whose groups became fewer by less than a tenth in its turn takes no more hubs, and when
     none takes any, all that are still open are compared in blocks.
     """
+    with swept(docs.sparkSession):
+        roots = _classes(docs, key, text, least, few, block)
+    return roots.select("id", "root")
+
+
+def _classes(docs: DataFrame, key: str, text: str, least: float, few: int, block: int) -> DataFrame:
     sig = cut(signed(docs, key, text))
     by_form = sig.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("far"))
     copies = sig.select("id", "f1", "f2").join(by_form.where("rep <> far"), ["f1", "f2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct()
