@@ -336,3 +336,13 @@ def test_spectral_groups_of_a_large_session(spark, monkeypatch):
         ring = pd.DataFrame({"session": 0, "src": ids, "dst": ids // 120 * 120 + (ids + 1) % 120, "w": 1.0})
         got = {(r.id // 120, r.group) for r in spectral.groups(spark.createDataFrame(ring), "spectral", 3).collect()}
         assert len({g for _, g in got}) == 3 and (pieces < 3 or len(got) == pieces)
+
+
+def test_eigenvectors_of_close_eigenvalues():
+    """A ring's eigenvalues lie within 1e-5 of each other; restarts alone took thousands of rounds or an error."""
+    n, i = 3000, np.arange(3000)
+    a, b, one = np.concatenate([i, (i + 1) % n]), np.concatenate([(i + 1) % n, i]), np.full((n, 1), n**-0.5)
+    v = spectral.leading(a, b, np.full(2 * n, 0.5), n, 4, one, rounds=40)
+    assert np.abs(v.T @ np.hstack([one, v]) - np.eye(5)[1:]).max() < 1e-9
+    for column, times in zip(v.T, (1, 1, 2, 2), strict=True):
+        assert np.abs((column[i - 1] + column[(i + 1) % n]) / 2 - np.cos(2 * np.pi * times / n) * column).max() < 1e-10
