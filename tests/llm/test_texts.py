@@ -212,6 +212,27 @@ def test_buckets_of_forms_without_links_end(spark, monkeypatch):
     assert roots == {**{i: i for i in range(3)}, **{100 + i: i % 3 for i in range(30)}}
 
 
+def test_components_of_small_and_large_graphs(spark):
+    """A small graph takes a handful of jobs, however long its chains; a large one's rounds say the same."""
+    rng = random.Random(5)
+    pairs = [(k, k + 1) for k in range(1000, 1040)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(7, 7), (2**62, -5), (1041, 1040)]
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(3)
+    root = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in root:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    spark.sparkContext.setJobGroup("small graph", "components")
+    try:
+        got = {r.id: r.root for r in minhash.components(edges).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("small graph"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == root and jobs < 10
+    assert {r.id: r.root for r in minhash.components(edges, small=0).collect()} == root
+    assert minhash.components(edges.where("u > v + 10000 and u < 0")).count() == 0
+
+
 def test_language_scores(docs, none, spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.fit(table.where(~langid.held_out()))

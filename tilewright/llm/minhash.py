@@ -34,6 +34,8 @@ ROWS = M // BANDS
 SHINGLE = 5
 #: Registers of the signatures that are compared with each other.
 LONG = 512
+#: Edges of a graph whose components are found in the driver (16 bytes each, 10 MB or so with its arrays).
+SMALL = 100_000
 _GOLD = U64(0x9E3779B97F4A7C15)
 _MULT = mix(np.arange(11, 11 + SHINGLE, dtype=U64) * _GOLD) | U64(1)
 
@@ -182,21 +184,40 @@ def _verified(pairs: DataFrame, content: DataFrame, least: float) -> DataFrame:
     return wide.mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def _joined(u: np.ndarray, v: np.ndarray) -> pa.Table:
+    """(id, root) of the edges' vertices, in arrays: roots hang on smaller ones until no edge has two."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return pa.table({"id": pa.array(ids, pa.int64()), "root": pa.array(ids[root], pa.int64())})
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def components(edges: DataFrame, rounds: int = 40, small: int = SMALL) -> DataFrame:
     """(id, root) for every vertex of the edges (u, v): root is the smallest id of its component.
 
-    Alternates large-star and small-star steps until no edge changes; every step is a grouped
-    minimum (combined before the shuffle) joined back to the edges.
+    Up to ``small`` edges are joined in the driver: planning the rounds of a small graph takes more
+    of its memory than the edges. More edges alternate large-star and small-star steps until none
+    changes; every step is a grouped minimum (combined before the shuffle) joined back to the edges.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    if e.count() <= small:
+        arrays = e.toArrow()
+        return e.sparkSession.createDataFrame(_joined(arrays["u"].to_numpy(), arrays["v"].to_numpy()))
     before = None
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
+        less = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
+        e = cut(less)
         n, total = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if (n, total) == before:
             break
@@ -281,7 +302,7 @@ def _classes(docs: DataFrame, key: str, text: str, least: float, few: int, block
     buckets = cut(rows.join(shared, "h"))
     mass = buckets.groupBy("id").agg(F.sum("n").alias("mass"))
     hubs = buckets.join(mass, "id").groupBy("h").agg(F.max(F.struct("mass", (-F.col("id")).alias("m"))).alias("x")).select("h", (-F.col("x.m")).alias("hub"))
-    tested = buckets.join(hubs, "h").where("id <> hub").select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v")).distinct()
+    tested = cut(buckets.join(hubs, "h").where("id <> hub").select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v")).distinct())
     content = cut(_shingled(docs.join(mass.select("id"), docs[key].cast("long") == mass["id"], "left_semi"), key, text))
     edges = cut(_verified(tested, content, least).union(copies))
     turn, going = 0, None
@@ -299,7 +320,8 @@ def _classes(docs: DataFrame, key: str, text: str, least: float, few: int, block
         if cross <= few * n:
             if open_.isEmpty():
                 return roots
-            return components(edges.union(_verified(_near(open_, content, sig, least, block), content, least)))
+            near = cut(_near(open_, content, sig, least, block))
+            return components(edges.union(_verified(near, content, least)))
         order = F.xxhash64("id", F.lit(turn))
         hub = open_.join(going.select("h"), "h", "left_semi").groupBy("h").agg(F.min(F.struct(order.alias("o"), "id", "root")).alias("x"))
         pairs = open_.join(hub, "h").where("root <> x.root").select(F.least("id", "x.id").alias("u"), F.greatest("id", "x.id").alias("v")).distinct()
