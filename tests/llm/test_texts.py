@@ -6,14 +6,16 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.llm import decontam, langid, lm, minhash, secretscan, spm, sufdedup
+from tilewright.llm import bytesbuf, decontam, langid, lm, minhash, secretscan, spm, sufdedup
 from tilewright.llm.queries import pieces
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -233,6 +235,32 @@ def test_components_of_small_and_large_graphs(spark):
     assert minhash.components(edges.where("u > v + 10000 and u < 0")).count() == 0
 
 
+def test_tokens_of_a_large_batch_take_little_memory():
+    """Bytes held while a batch of 8 MB is counted, and while a sent table is taken into use."""
+    words = [f"w{k}" for k in range(5000)]
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(words, k=1000)) for _ in range(1400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None, ""])], names=["text"])
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 300_000, np.uint64, endpoint=False))
+    tracemalloc.start()
+    try:
+        got = list(lm._token_counts(iter([batch])))
+        counting, _ = tracemalloc.get_traced_memory()[1], tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        known = bytesbuf.Known(keys, keys, ordered=True)
+        taking = tracemalloc.get_traced_memory()[1] - held
+    finally:
+        tracemalloc.stop()
+    counts = Counter()
+    for b in got:
+        counts.update(dict(zip(b["token"].to_pylist(), b["n"].to_pylist(), strict=True)))
+    assert counts[lm.END_TOKEN] == 1402 and sorted(counts.values()) == sorted([1402, *Counter(w for t in texts for w in t.split()).values()])
+    assert counting < 80e6 and taking < 24 * len(keys)
+    other = bytesbuf.Known(keys[::-1], keys[::-1])
+    for k in (known, other):
+        assert (k.find(keys) == np.arange(len(keys))).all() and (k.find(keys + np.uint64(1)) == np.where(np.isin(keys + np.uint64(1), keys), k.find(keys + np.uint64(1)), -1)).all()
+
+
 def test_language_scores(docs, none, spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.fit(table.where(~langid.held_out()))
